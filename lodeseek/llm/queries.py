@@ -2,7 +2,15 @@
 
 from __future__ import annotations
 
-from . import packing, token_files
+from . import packing, quality, token_files, toxicity
 
-QUERIES = {f.__name__: f for f in (packing.op6_best_two_fit_packing, token_files.op7_arrow_token_files)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        toxicity.op2_mil_toxicity,
+        quality.op3_factorisation_quality,
+        packing.op6_best_two_fit_packing,
+        token_files.op7_arrow_token_files,
+    )
+}
 ORACLES: dict[str, str] = {}
