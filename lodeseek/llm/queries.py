@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import packing, quality, token_files, toxicity
+from . import minhash, packing, quality, token_files, toxicity
 
 QUERIES = {
     f.__name__: f
@@ -11,6 +11,7 @@ QUERIES = {
         quality.op3_factorisation_quality,
         packing.op6_best_two_fit_packing,
         token_files.op7_arrow_token_files,
+        minhash.op10_minhash_near_dedup,
     )
 }
 ORACLES: dict[str, str] = {}
