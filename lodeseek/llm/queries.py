@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from . import minhash, packing, quality, token_files, toxicity
+from . import html, lines, minhash, packing, quality, token_files, toxicity
 
 QUERIES = {
     f.__name__: f
     for f in (
         toxicity.op2_mil_toxicity,
         quality.op3_factorisation_quality,
+        lines.op4_winnowed_lines,
         packing.op6_best_two_fit_packing,
         token_files.op7_arrow_token_files,
+        html.op9_site_style_tree,
         minhash.op10_minhash_near_dedup,
     )
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op4_winnowed_lines": lines.ORACLE}
