@@ -112,7 +112,7 @@ WITH lines AS (
   SELECT DISTINCT f.doc_id, f.i FROM (SELECT doc_id, unnest(range(s, s + n)) AS k FROM ranked WHERE r > 1) g JOIN full_lines f USING (doc_id, k)
 ), lost AS (SELECT doc_id, list(i) AS i FROM gone GROUP BY doc_id)
 SELECT d.doc_id,
-  CASE WHEN lost.i IS NULL THEN d.text ELSE coalesce(array_to_string(list_transform(list_filter(list_transform(string_split(d.text, chr(10)), (x, k) -> {{'x': x, 'k': k - 1}}), p -> NOT list_contains(lost.i, p.k)), p -> p.x), chr(10)), '') END AS text,
+  CASE WHEN lost.i IS NULL THEN d.text ELSE coalesce(array_to_string(list_transform(list_filter(list_transform(string_split(d.text, chr(10)), lambda x, k: {{'x': x, 'k': k - 1}}), lambda p: NOT list_contains(lost.i, p.k)), lambda p: p.x), chr(10)), '') END AS text,
   CAST(coalesce(len(string_split(d.text, chr(10))), 0) AS INTEGER) AS n_lines, CAST(coalesce(len(lost.i), 0) AS INTEGER) AS n_removed
 FROM documents d LEFT JOIN lost USING (doc_id)
 """

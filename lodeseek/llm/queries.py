@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import html, lines, minhash, packing, quality, token_files, toxicity
+from . import decontaminate, html, lines, minhash, packing, quality, token_files, toxicity
 
 QUERIES = {
     f.__name__: f
@@ -12,8 +12,9 @@ QUERIES = {
         lines.op4_winnowed_lines,
         packing.op6_best_two_fit_packing,
         token_files.op7_arrow_token_files,
+        decontaminate.op8_simhash_decontamination,
         html.op9_site_style_tree,
         minhash.op10_minhash_near_dedup,
     )
 }
-ORACLES: dict[str, str] = {"op4_winnowed_lines": lines.ORACLE}
+ORACLES: dict[str, str] = {"op4_winnowed_lines": lines.ORACLE, "op8_simhash_decontamination": decontaminate.ORACLE}

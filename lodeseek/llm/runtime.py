@@ -54,3 +54,8 @@ def joined_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def let(value, of):
+    """``of(value)`` with ``value`` computed once a row, also where the optimizer would put it into each of its uses."""
+    return F.get(F.transform(F.array(value), of), F.lit(0))
