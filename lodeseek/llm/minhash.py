@@ -20,8 +20,10 @@ from . import graph, runtime, shingles, words
 
 T, ROWS, BANDS = 128, 4, 32
 PERCENT = 75
-#: Groups of more unlinked sets than this are dealt out again by a second band.
-GROUP = 64
+#: Equal coordinates that a pair must have before its sets are compared: five deviations under the mean at 0.75.
+LIKELY = 72
+#: Sets, and shingles in them, in one part of a group; larger groups are compared part by part.
+PART_ROWS, PART_SHINGLES = 1000, 1_000_000
 _FULL = np.uint64((1 << 64) - 1)
 
 
@@ -96,18 +98,61 @@ def _linked(pairs: DataFrame, documents: DataFrame) -> DataFrame:
     return checked.where(100 * F.col("both") >= PERCENT * (F.size("sa") + F.size("sb") - F.col("both"))).select("a", "b")
 
 
-def _rest(banded: DataFrame, classes: DataFrame, parts: DataFrame) -> DataFrame:
-    """Pairs of classes that share a band and aren't in one component yet. Large groups are dealt out by a second band."""
-    of = banded.join(parts, F.col("class") == F.col("node"), "left").select("key", "class", F.coalesce("component", "class").alias("component"))
-    groups = of.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("n")).where("least <> most").select("key", "n")
-    open_ = runtime.written(of.join(groups, "key"), "open")
-    few = open_.where(F.col("n") <= GROUP).select("key", "class", "component")
-    many = open_.where(F.col("n") > GROUP).join(classes, "class").select(F.explode("bands").alias("second"), "key", "class", "component")
-    many = many.where("second <> key").select(F.xxhash64("key", "second").alias("key"), "class", "component")
-    rows = runtime.written(few.unionByName(many), "rest")
-    a = rows.select("key", F.col("class").alias("a"), F.col("component").alias("ca"))
-    b = rows.select("key", F.col("class").alias("b"), F.col("component").alias("cb"))
-    return a.join(b, "key").where("a < b AND ca <> cb").select("a", "b").distinct()
+def _unlinked(group: pa.Table) -> pa.Table:
+    """Links found among the classes of one group, or between its two parts: every pair of different components counts.
+
+    A pair is looked at in the first band that it shares only, and compared by sketch before it is by full sets.
+    """
+    of = {c: group.column(c).to_pylist() for c in ("band", "class", "component", "part", "p", "q")}
+    n, band, cross = len(of["class"]), of["band"][0], of["p"][0] != of["q"][0]
+    sets = [x.values.to_numpy().view(np.uint64) for x in group.column("shingles")]
+    size, component, part = np.array([len(x) for x in sets]), np.array(of["component"]), np.array(of["part"])
+    sketch = sketches(sets)
+    kinds, count = np.unique(component, return_counts=True)
+    late = component == kinds[count.argmax()]  # pairs with the largest component are met from their other side
+    up = {c: c for c in kinds.tolist()}
+
+    def top(c: int) -> int:
+        while up[c] != c:
+            c = up[c]
+        return c
+
+    links = []
+    for i in np.flatnonzero(~late).tolist():
+        other = (late | (np.arange(n) > i)) & (component != component[i])
+        other &= PERCENT * np.maximum(size, size[i]) <= 100 * np.minimum(size, size[i])
+        if cross:
+            other &= part != part[i]
+        js = np.flatnonzero(other)
+        same = sketch[js] == sketch[i]
+        total = same.sum(axis=1)
+        likely = total >= LIKELY
+        js, total, same = js[likely], total[likely], same[likely]
+        first = same.reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == band
+        for j in js[first][np.argsort(-total[first], kind="stable")].tolist():
+            a, b = top(of["component"][i]), top(of["component"][j])
+            if a != b:
+                where = np.searchsorted(sets[i], sets[j])
+                where[where == len(sets[i])] = 0
+                both = int((sets[i][where] == sets[j]).sum())
+                if 100 * both >= PERCENT * (len(sets[i]) + len(sets[j]) - both):
+                    up[a] = b
+                    links.append((of["class"][i], of["class"][j]))
+    return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
+
+
+def _rest(inside: DataFrame, classes: DataFrame, parts: DataFrame, documents: DataFrame) -> DataFrame:
+    """Links between classes that share a band but aren't in one component yet. A task holds two parts of a group at most."""
+    of = inside.join(parts, F.col("class") == F.col("node"), "left").select("band", "key", "class", F.coalesce("component", "class").alias("component"))
+    of = of.join(classes.select("class", "n_shingles"), "class")
+    groups = of.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("n"), F.sum("n_shingles").alias("m")).where("least <> most")
+    groups = groups.select("key", F.ceil(F.greatest(F.col("n") / PART_ROWS, F.col("m") / PART_SHINGLES)).cast("int").alias("parts"))
+    open_ = runtime.written(of.join(groups, "key").withColumn("part", F.pmod(F.xxhash64("class"), F.col("parts")).cast("int")).drop("n_shingles"), "open")
+    ids = runtime.written(open_.select(F.col("class").alias("doc_id")).distinct(), "ids")
+    sets = full_sets(_texts(documents).join(runtime.joined_side(ids), "doc_id", "left_semi")).dropDuplicates(["doc_id"])
+    meets = F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.struct(F.least("part", o).alias("p"), F.greatest("part", o).alias("q"))))
+    rows = open_.join(sets, F.col("class") == F.col("doc_id")).select("band", "key", "class", "component", "part", "shingles", meets.alias("m")).select("*", "m.p", "m.q").drop("m")
+    return rows.groupBy("key", "p", "q").applyInArrow(_unlinked, "a long, b long")
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
@@ -115,21 +160,21 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
 
     Equal sets are one class, so copies never meet in pairs. In each group of a band, every class is checked against the
     group's smallest and largest class; then classes that share a band but are still in different components are
-    checked too. Null and empty texts and those without words have no shingles and no links. Rows of one doc_id count
+    compared in their group, part by part where it is large, and only links leave it. Null and empty texts and those without words have no shingles and no links. Rows of one doc_id count
     as one document; a null doc_id is kept only if no document with an id has its set. An empty table gives an empty table.
     """
     signed = runtime.written(signatures(documents), "signatures")
     named = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = named.groupBy("s1", "s2", "n_shingles").agg(F.min(F.struct("doc_id", "bands")).alias("x"))
     classes = runtime.written(classes.select("s1", "s2", "n_shingles", F.col("x.doc_id").alias("class"), F.col("x.bands").alias("bands")), "classes")
-    banded = classes.select(F.explode("bands").alias("key"), "class")
+    banded = classes.select(F.posexplode("bands").alias("band", "key"), "class")
     groups = banded.groupBy("key").agg(F.min("class").alias("least"), F.max("class").alias("most")).where("least <> most")
     inside = runtime.written(banded.join(groups, "key"), "groups")
     stars = inside.select(F.explode(F.array(F.struct(F.col("least").alias("a"), F.col("class").alias("b")), F.struct(F.col("class").alias("a"), F.col("most").alias("b")))).alias("p")).select("p.a", "p.b").where("a <> b").distinct()
     stars = runtime.written(stars, "stars")
     links = runtime.written(_linked(stars, documents), "links")
-    rest = _rest(inside.select("key", "class"), classes.select("class", "bands"), graph.components(links)).join(stars, ["a", "b"], "left_anti")
-    links = links.unionByName(_linked(runtime.written(rest, "rest"), documents))
+    rest = _rest(inside.select("band", "key", "class"), classes, graph.components(links), documents)
+    links = links.unionByName(runtime.written(rest, "rest"))
     same = named.groupBy("doc_id").agg(F.min("s1").alias("l"), F.max("s1").alias("m")).where("l <> m").select("doc_id")
     versions = named.join(runtime.joined_side(runtime.written(same, "versions")), "doc_id").join(classes, ["s1", "s2", "n_shingles"]).select(F.col("doc_id").alias("a"), F.col("class").alias("b"))
     parts = graph.components(links.unionByName(versions))
