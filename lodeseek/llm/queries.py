@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html, lines, minhash, packing, quality, token_files, toxicity
+from . import decontaminate, html, lines, minhash, packing, quality, substrings, token_files, toxicity
 
 QUERIES = {
     f.__name__: f
@@ -10,6 +10,7 @@ QUERIES = {
         toxicity.op2_mil_toxicity,
         quality.op3_factorisation_quality,
         lines.op4_winnowed_lines,
+        substrings.op5_longest_previous_factor,
         packing.op6_best_two_fit_packing,
         token_files.op7_arrow_token_files,
         decontaminate.op8_simhash_decontamination,
