@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html, lines, minhash, packing, quality, substrings, token_files, toxicity
+from . import covertree, decontaminate, html, lines, minhash, packing, quality, substrings, token_files, toxicity
 
 QUERIES = {
     f.__name__: f
     for f in (
+        covertree.op1_cover_tree_top_k,
         toxicity.op2_mil_toxicity,
         quality.op3_factorisation_quality,
         lines.op4_winnowed_lines,
@@ -18,4 +19,4 @@ QUERIES = {
         minhash.op10_minhash_near_dedup,
     )
 }
-ORACLES: dict[str, str] = {"op4_winnowed_lines": lines.ORACLE, "op8_simhash_decontamination": decontaminate.ORACLE}
+ORACLES: dict[str, str] = {"op1_cover_tree_top_k": covertree.ORACLE, "op4_winnowed_lines": lines.ORACLE, "op8_simhash_decontamination": decontaminate.ORACLE}
