@@ -33,6 +33,10 @@ def _places(token: str, col: str) -> Column:
     return F.coalesce(F.try_element_at("at", F.lit(f"{col} {token}")), F.array().cast("array<int>"))
 
 
+def _followed(places: Column, by: int):
+    return lambda x: F.array_contains(places, x + by)
+
+
 def _starts(p: Phrase, col: str) -> Column:
     """Where a phrase starts in a column of the chunk."""
     words = list(p.tokens)
@@ -40,7 +44,7 @@ def _starts(p: Phrase, col: str) -> Column:
         words[-1] += "*"
     out = _places(words[0], col)
     for i, w in enumerate(words[1:], 1):
-        out = F.filter(out, lambda x, i=i, w=w: F.array_contains(_places(w, col), x + i))
+        out = F.filter(out, _followed(_places(w, col), i))
     return F.filter(out, lambda x: x == 0) if p.initial else out
 
 
@@ -51,8 +55,20 @@ def _near_starts(n: Near, col: str) -> list[Column]:
     def close(a: Column, size: int) -> Column:
         return reduce(lambda x, y: x & y, [F.exists(s, lambda y: (y >= a) & (y <= a + size + n.distance)) for s in starts])
 
-    anchors = [(F.filter(s, lambda a, p=p: close(a, len(p.tokens))), len(p.tokens)) for s, p in zip(starts, n.phrases, strict=True)]
-    return [F.filter(s, lambda y: reduce(lambda u, v: u | v, [F.exists(a, lambda x, k=k: (y >= x) & (y <= x + k + n.distance)) for a, k in anchors])) for s in starts]
+    anchors = [(F.filter(s, _close_to(close, len(p.tokens))), len(p.tokens)) for s, p in zip(starts, n.phrases, strict=True)]
+
+    def held(y: Column) -> Column:
+        return reduce(lambda u, v: u | v, [F.exists(a, _covers(y, k + n.distance)) for a, k in anchors])
+
+    return [F.filter(s, held) for s in starts]
+
+
+def _close_to(close, size: int):
+    return lambda a: close(a, size)
+
+
+def _covers(y: Column, reach: int):
+    return lambda x: (y >= x) & (y <= x + reach)
 
 
 def _counts(node) -> list[Column]:
