@@ -29,19 +29,21 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near-duplicates stays, and one row of each doc_id; rows without a doc_id stay."""
-    kept = runtime.written(minhash.near_duplicates(docs).where("kept AND doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_rows")), "kept")
-    of = docs.join(kept, F.col("doc_id") == F.col("_id"))
-    once = of.where("_rows = 1").select(*docs.columns)
-    if kept.where("_rows > 1").limit(1).count():
-        once = once.unionByName(of.where("_rows > 1").select(*docs.columns).dropDuplicates(["doc_id"]))
+    key, rows = runtime.fresh(docs.columns, "_id", "_rows")
+    kept = runtime.written(minhash.near_duplicates(docs).where("kept AND doc_id IS NOT NULL").groupBy(F.col("doc_id").alias(key)).agg(F.count("*").alias(rows)), "kept")
+    of = docs.join(kept, F.col("doc_id") == F.col(key))
+    once = of.where(F.col(rows) == 1).select(*docs.columns)
+    if kept.where(F.col(rows) > 1).limit(1).count():
+        once = once.unionByName(of.where(F.col(rows) > 1).select(*docs.columns).dropDuplicates(["doc_id"]))
     return once.unionByName(docs.where("doc_id IS NULL"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window similar to a benchmark item go."""
     found = decontaminate.contamination(docs, runtime.table(spark, sf_dir, "benchmark"))
-    ids = runtime.written(found.select(F.col("doc_id").alias("_id")).distinct(), "contaminated")
-    return docs.join(runtime.joined_side(ids), F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+    (key,) = runtime.fresh(docs.columns, "_id")
+    ids = runtime.written(found.select(F.col("doc_id").alias(key)).distinct(), "contaminated")
+    return docs.join(runtime.joined_side(ids), F.col("doc_id").eqNullSafe(F.col(key)), "left_anti")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

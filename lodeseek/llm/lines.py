@@ -79,14 +79,15 @@ def drop_repeated_lines(documents: DataFrame, window: int = WINDOW, chars: int =
     """
     own = [c for c in documents.columns if c not in ("n_lines", "n_removed")]
     gone = _repeats(documents.select(F.col("doc_id"), F.col("text").cast("string").alias("text")), window, chars)
-    gone = gone.select(F.col("doc_id").alias("_gone_doc"), F.col("t").alias("_gone_text"), F.col("gone").alias("_gone"))
-    joined = documents.select(*own).join(gone, F.col("doc_id").eqNullSafe(F.col("_gone_doc")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_gone_text")), "left")
+    doc, text, removed = runtime.fresh(documents.columns, "_gone_doc", "_gone_text", "_gone")
+    gone = gone.select(F.col("doc_id").alias(doc), F.col("t").alias(text), F.col("gone").alias(removed))
+    joined = documents.select(*own).join(gone, F.col("doc_id").eqNullSafe(F.col(doc)) & (F.xxhash64(F.col("text").cast("string")) == F.col(text)), "left")
     split = F.split("text", "\n", -1)
-    kept = F.array_join(F.filter(split, lambda x, i: ~F.array_contains("_gone", i)), "\n")
+    kept = F.array_join(F.filter(split, lambda x, i: ~F.array_contains(removed, i)), "\n")
     return joined.select(
-        *[F.when(F.col("_gone").isNull(), F.col("text").cast("string")).otherwise(kept).alias("text") if c == "text" else F.col(c) for c in own],
+        *[F.when(F.col(removed).isNull(), F.col("text").cast("string")).otherwise(kept).alias("text") if c == "text" else F.col(c) for c in own],
         F.coalesce(F.size(split), F.lit(0)).alias("n_lines"),
-        F.coalesce(F.size("_gone"), F.lit(0)).alias("n_removed"),
+        F.coalesce(F.size(removed), F.lit(0)).alias("n_removed"),
     )
 
 

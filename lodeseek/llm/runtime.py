@@ -59,3 +59,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def let(value, of):
     """``of(value)`` with ``value`` computed once a row, also where the optimizer would put it into each of its uses."""
     return F.get(F.transform(F.array(value), of), F.lit(0))
+
+
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """The names, with marks added until none is among ``columns`` (compared as Spark does, without case)."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
