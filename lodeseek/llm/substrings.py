@@ -22,9 +22,9 @@ from . import runtime, shingles, words
 
 SIZE, KGRAM = 400, 200
 #: Different surroundings of one anchor that go into suffix arrays, and bytes in one array.
-SURROUNDINGS, CHUNK_BYTES = 2000, 1_000_000
+SURROUNDINGS, CHUNK_BYTES = 2000, 600_000
 #: Bytes of a text that are searched for anchors at a time.
-PIECE = 4_000_000
+PIECE = 1_000_000
 _BYTE = np.random.default_rng(77).integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 _PLACE, _LOW = 24, np.uint64((1 << 24) - 1)
 ANCHORS = "doc_id long, t long, h long, c long, s int, n int, at int"
@@ -79,7 +79,7 @@ def _texts(documents: DataFrame) -> DataFrame:
 
 def _anchor_rows(texts: DataFrame, size: int, kgram: int) -> DataFrame:
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, strings in words.batches_of(batches):
+        for b, strings in words.batches_of(batches, 2 * PIECE):
             raw = [x.encode("utf-8", "surrogatepass") for x in strings]
             # pieces with all windows of each text; where a long text is cut, so is a run of windows, and both parts count
             pieces = [(i, o, r[o : o + PIECE + size - 1]) for i, r in enumerate(raw) for o in range(0, max(1, len(r) - size + 1), PIECE)]

@@ -52,13 +52,13 @@ def hashed(text: str, size: int) -> int:
     return zlib.crc32(text.encode("utf-8", "surrogatepass")) % size
 
 
-def batches_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Batches of bounded bytes (a single text may be longer), with column ``text`` as strings, null as empty."""
+def batches_of(batches: Iterator[pa.RecordBatch], most: int = BATCH_BYTES) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Batches of ``most`` characters (a single text may be longer), with column ``text`` as strings, null as empty."""
     for batch in batches:
         texts = [t or "" for t in batch.column("text").to_pylist()]
         at = 0
         while at < len(texts):
-            to, room = at, BATCH_BYTES
+            to, room = at, most
             while to < len(texts) and (to == at or room >= len(texts[to])):
                 room -= len(texts[to])
                 to += 1

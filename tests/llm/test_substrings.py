@@ -38,7 +38,7 @@ def test_documents_equal_brute_force(spark, keep_first):
     assert ours(substrings.remove_repeats(df, 400, keep_first)) == brute(rows, 400, keep_first)
 
 
-@pytest.mark.parametrize(("limit", "piece"), [(2000, 4_000_000), (3, 70)])
+@pytest.mark.parametrize(("limit", "piece"), [(2000, 1_000_000), (3, 70)])
 def test_passages_periods_and_edges(spark, monkeypatch, limit, piece):
     monkeypatch.setattr(substrings, "SURROUNDINGS", limit)
     monkeypatch.setattr(substrings, "PIECE", piece)
