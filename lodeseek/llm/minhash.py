@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from . import graph, runtime, shingles, words
 
 T, ROWS, BANDS = 128, 4, 32
+#: Characters of text that a task hashes at a time.
+BATCH_CHARACTERS = 2_000_000
 PERCENT = 75
 #: Equal coordinates that a pair must have before its sets are compared: five deviations under the mean at 0.75.
 LIKELY = 72
@@ -59,7 +61,7 @@ def signatures(documents: DataFrame) -> DataFrame:
     """doc_id, n_shingles, s1 and s2 (a 128-bit name of the set), bands."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, texts in words.batches_of(batches):
+        for b, texts in words.batches_of(batches, BATCH_CHARACTERS):
             sets = shingles.shingle_sets(texts)
             n = np.array([len(s) for s in sets], np.int64)
             names = [np.array([shingles.mixed(s ^ np.uint64(k)).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64) for k in (0x5851F42D, 0x14057B7E)]
@@ -74,7 +76,7 @@ def full_sets(documents: DataFrame) -> DataFrame:
     """doc_id and its whole set of shingles."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, texts in words.batches_of(batches):
+        for b, texts in words.batches_of(batches, BATCH_CHARACTERS):
             sets = shingles.shingle_sets(texts)
             offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets).view(np.int64)))], ["doc_id", "shingles"])
