@@ -24,7 +24,13 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_dir(spark)}/lodeseek-{uuid.uuid4().hex}/{name}"
+    """A new place in the shared folder, which goes when the application ends."""
+    own = f"{scratch_dir(spark)}/lodeseek-{uuid.uuid4().hex}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(own)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(path)
+    fs.deleteOnExit(path)
+    return f"{own}/{name}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -35,13 +41,6 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Removes a scratch table that no later plan reads."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     """True if ``df`` (narrow, already written) has at most ``rows`` rows."""
     return df.limit(rows + 1).count() <= rows
