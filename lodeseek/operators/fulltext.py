@@ -97,11 +97,12 @@ def matches(index: DataFrame, node) -> DataFrame:
     """chunk_id and ``f``, counts of the query's phrases, of chunks with any; only the query's terms are read."""
     found = phrases(node)
     exact = sorted({t for p in found for t in (p.tokens[:-1] if p.prefix else p.tokens)})
+    index = index.where("chunk_id IS NOT NULL")  # in all uses of the plan, so that Spark runs it once
     rows = index.where(F.col("term").isin(exact)).select("term", "chunk_id", "col", "positions")
     for t in sorted({p.tokens[-1] for p in found if p.prefix}):
-        rows = rows.unionByName(index.where(F.col("term").startswith(t)).select(F.lit(f"{t}*").alias("term"), "chunk_id", "col", "positions"))
-    keyed = rows.groupBy("chunk_id", "col", "term").agg(F.flatten(F.collect_list("positions")).alias("positions"))
-    chunk = keyed.groupBy("chunk_id").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws(" ", "col", "term"), "positions"))).alias("at"))
+        begun = index.where(F.col("term").startswith(t)).groupBy("chunk_id", "col").agg(F.flatten(F.collect_list("positions")).alias("positions"))
+        rows = rows.unionByName(begun.select(F.lit(f"{t}*").alias("term"), "chunk_id", "col", "positions"))
+    chunk = rows.groupBy("chunk_id").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws(" ", "col", "term"), "positions"))).alias("at"))
     return chunk.select("chunk_id", F.array(*_counts(node)).alias("f"))
 
 
