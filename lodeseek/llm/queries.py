@@ -19,4 +19,4 @@ QUERIES = {
         minhash.op10_minhash_near_dedup,
     )
 }
-ORACLES: dict[str, str] = {"op1_cover_tree_top_k": covertree.ORACLE, "op4_winnowed_lines": lines.ORACLE, "op8_simhash_decontamination": decontaminate.ORACLE}
+ORACLES: dict[str, str] = {"op1_cover_tree_top_k": covertree.ORACLE, "op4_winnowed_lines": lines.ORACLE, "op8_simhash_decontamination": decontaminate.ORACLE, "op10_minhash_near_dedup": minhash.ORACLE}
