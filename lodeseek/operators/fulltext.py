@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
-from .textquery import COLUMNS, Near, Node, Phrase, compile_query, phrases
+from .textquery import COLUMNS, Near, Phrase, compile_query, phrases
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 
