@@ -26,16 +26,11 @@ def _windows(lines: Column, window: int, chars: int) -> Column:
 
     def reach(k: Column, step: int) -> Column:
         """The other end of the window from k, or null if the text ends before."""
-        end, total = F.lit(None).cast("int"), F.lit(0)
-        choices = []
-        for i in range(window):
+        end = F.lit(None).cast("int")
+        for i in reversed(range(window)):
             j = k + i * step
-            total = total + at(j)
-            choices.append(F.when(F.lit(True) if i == window - 1 else total >= chars, F.when(at(j).isNotNull(), j)))
-        for i, c in reversed(list(enumerate(choices))):
-            j = k + i * step
-            reached = F.lit(True) if i == window - 1 else sum((at(k + q * step) for q in range(1, i + 1)), at(k)) >= chars
-            end = F.when(reached & at(j).isNotNull(), j).otherwise(end if i < window - 1 else F.lit(None).cast("int"))
+            enough = F.lit(True) if i == window - 1 else sum((at(k + q * step) for q in range(1, i + 1)), at(k)) >= chars
+            end = F.when(enough & at(j).isNotNull(), j).otherwise(end)
         return end
 
     def both(k: Column) -> Column:
