@@ -77,6 +77,25 @@ class Features:
         self.value = np.concatenate([w_value, np.full(n * len(STATS), 0.5)])[order]
         self.first = np.searchsorted(self.row, np.arange(n + 1))
 
+    @classmethod
+    def of_many(cls, texts: list[str]) -> Features:
+        """As of all texts, made part by part."""
+        parts, at = [], 0
+        while at < len(texts):
+            to, room = at, words.BATCH_BYTES
+            while to < len(texts) and (to == at or room >= len(texts[to])):
+                room -= len(texts[to])
+                to += 1
+            parts.append((at, cls(texts[at:to])))
+            at = to
+        out = cls.__new__(cls)
+        out.n = len(texts)
+        out.row = np.concatenate([p.row + o for o, p in parts]).astype(np.int32)
+        out.feature = np.concatenate([p.feature for _, p in parts]).astype(np.int32)
+        out.value = np.concatenate([p.value for _, p in parts])
+        out.first = np.searchsorted(out.row, np.arange(out.n + 1))
+        return out
+
     def terms(self, w: np.ndarray, v: np.ndarray, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
         """Of rows a .. b: the sum without the bias, and sum v_if x_i. Every row has features."""
         at = slice(self.first[a], self.first[b])
@@ -95,7 +114,7 @@ def fit(texts: list[str], labels: list[int]) -> bytes:
     w, v, bias = np.zeros(N), np.zeros((N, FACTORS)), np.log(share / (1 - share))
     if len(set(labels)) == 2:
         rng = np.random.default_rng(7)
-        x = Features(texts)
+        x = Features.of_many(texts)
         rare = np.bincount(x.feature, minlength=N) < 3
         x.value = np.where(rare[x.feature], 0.0, x.value)
         v = rng.normal(0, 0.05, (N, FACTORS))

@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 #: Characters that form a run of their own after a word made of letters.
 TAIL = ".,!?*#$&%|;:"
 #: Words that a worker remembers between batches, and bytes of text in one batch.
-REMEMBERED, BATCH_BYTES = 300_000, 6_000_000
+REMEMBERED, BATCH_BYTES = 200_000, 2_000_000
 
 _encoders: dict[str, "Encoder"] = {}
 

@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 
 #: A word of its own at each line break.
 BREAK = "\x1e"
-BATCH_BYTES = 6_000_000
+BATCH_BYTES = 1_500_000
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 
 
