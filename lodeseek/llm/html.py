@@ -11,6 +11,7 @@ marks its article, the rest of the page is. Hosts with few pages have only that
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
 import zlib
@@ -174,7 +175,7 @@ def main_text(page: str, importance: dict[int, float] | None = None) -> str:
     kept: dict[int, float] = {}
     order = list(elements(root))
     for e in reversed(order):
-        own = seen.get(e.key, 1.0)
+        own = 1.0 if e.main else seen.get(e.key, 1.0)
         kept[id(e)] = max([own, *(kept[id(c)] for c in e.children if isinstance(c, Element) and id(c) in kept and not c.noise)])
     blocks: list[tuple[bool, str]] = []
     pending: list[str] = []
@@ -214,17 +215,24 @@ def _host():
 
 
 def style_trees(pages: DataFrame) -> DataFrame:
-    """host, element, importance of every element of hosts with MIN_PAGES pages or more (url, html; nulls count as empty)."""
+    """host, element, importance of every element of hosts with MIN_PAGES pages or more (url, html; nulls count as empty).
+
+    Pages of a host with the same facts are copies and count once.
+    """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            hosts, rows = b.column(0).to_pylist(), []
-            for host, page in zip(hosts, b.column(1).to_pylist(), strict=True):
-                rows += [(host, *f) for f in set(style_facts(page or ""))]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.int32(), pa.int64()), strict=True)], ["host", "element", "kind", "hash"])
-
-    facts = pages.select(_host().alias("host"), F.col("html").cast("string")).mapInArrow(task, "host string, element long, kind int, hash long")
+            names, codes, hashes = [], [], []
+            for page in b.column(1).to_pylist():
+                facts = sorted(set(style_facts(page or "")))
+                names.append(hashlib.md5(repr(facts).encode()).digest())
+                codes.append([element << 2 | kind for element, kind, _ in facts])
+                hashes.append([h for _, _, h in facts])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.binary()), pa.array(codes, pa.list_(pa.int64())), pa.array(hashes, pa.list_(pa.int64()))], ["host", "page", "code", "hash"])
+
+    rows = pages.select(_host().alias("host"), F.col("html").cast("string")).mapInArrow(task, "host string, page binary, code array<long>, hash array<long>")
+    facts = rows.dropDuplicates(["host", "page"]).select("host", F.explode(F.arrays_zip("code", "hash")).alias("f"))
+    facts = facts.select("host", F.shiftright("f.code", 2).alias("element"), F.col("f.code").bitwiseAND(F.lit(3)).alias("kind"), "f.hash")
     counted = facts.groupBy("host", "element", "kind", "hash").agg(F.count("*").alias("n"))
     n, total = F.col("n"), F.sum("n")
     kinds = counted.groupBy("host", "element", "kind").agg(total.alias("total"), F.sum(n * F.log(n.cast("double"))).alias("nlogn"))

@@ -43,3 +43,21 @@ def test_style_tree_drops_what_a_host_repeats(spark):
     assert all(got[i] == f"Story {i} of many" for i in range(20))
     assert got[100] == "Welcome to the site" and got[101] == "" and got[102] == ""
     assert html.extract(df.limit(0)).count() == 0
+
+
+def texts(spark, rows):
+    """Texts of (url, html) rows, in their order."""
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "page_id long, url string, html string")
+    return [r["text"] for r in html.extract(df).orderBy("page_id").collect()]
+
+
+def test_copies_of_a_page_keep_their_text(spark):
+    marked, bare = "<body><article><h1>T</h1><p>text</p></article></body>", "<body><div><p>one</p><p>two</p><p>three</p></div></body>"
+    assert texts(spark, [("http://a/", marked)] * 5 + [("http://b/", bare)] * 20) == ["T\n\ntext"] * 5 + ["one\n\ntwo\n\nthree"] * 20
+    # copies don't make what is on few distinct pages look repeated
+    assert texts(spark, [("http://c/", f"<body><p>Text {i % 3}</p></body>") for i in range(60)]) == [f"Text {i % 3}" for i in range(60)]
+
+
+def test_a_marked_article_below_repeated_branches_stays(spark):
+    page = "<body><div class=a><div class=b><article><h1>T</h1><p>text</p></article></div></div><div class=c><p>{}</p></div></body>"
+    assert texts(spark, [("http://a/", page.format(i)) for i in range(8)]) == ["T\n\ntext"] * 8
