@@ -3,8 +3,9 @@
 Pages of a host are merged into a style tree: an element is named by its path of tags and classes, and the tree counts
 in how many pages each sequence of children (presentation) and each text (content) occurs there. Presentation
 importance is the entropy of the sequences, content importance one less the entropy of texts over pages; both by
-logarithms to the base of the number of pages, so 0 is the same on every page and 1 different on each. An element's
-importance is the larger of its own and its branches'; branches of low importance go. What the tags and classes state
+logarithms to the base of the number of pages that hold the element, so 0 is the same on every page and 1 different on
+each. An element with several texts or sequences on a page has their mean. An element's importance is the larger of its
+own and its branches', 0 if it is empty; branches of low importance go. What the tags and classes state
 outright goes with them or stays with them: menus, forms, comments and the like are of importance 0, and where a page
 marks its article, the rest of the page is. Hosts with few pages have only that to go by.
 """
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from . import runtime
 
-#: Pages from which on a host's tree counts, and the importance below which a branch goes.
+#: Pages from which on an element of a host's tree counts, and the importance below which a branch goes.
 MIN_PAGES, LOW = 5, 0.3
 #: Elements of all hosts' trees that may be broadcast.
 TREE_ROWS = 100_000
@@ -147,20 +148,35 @@ def own_text(e: Element) -> str:
     return "".join(out)
 
 
+def branches(e: Element) -> list[Element]:
+    """The block elements right below, those in inline elements included."""
+    out, todo = [], list(reversed(e.children))
+    while todo:
+        c = todo.pop()
+        if isinstance(c, str):
+            continue
+        if c.tag not in _INLINE:
+            out.append(c)
+        elif not c.noise:
+            todo += reversed(c.children)
+    return out
+
+
 def elements(root: Element) -> Iterator[Element]:
     """All block elements, a parent before its children."""
     todo = [root]
     while todo:
         e = todo.pop()
         yield e
-        todo += [c for c in reversed(e.children) if isinstance(c, Element) and c.tag not in _INLINE]
+        todo += reversed(branches(e))
 
 
 def style_facts(page: str) -> list[tuple[int, int, int]]:
-    """(element, kind, hash) of a page: kind 0 is a sequence of children, kind 1 a text."""
+    """(element, kind, hash) of a page: kind 0 is a sequence of children, kind 1 a text, kind 2 the element itself."""
     out = []
     for e in elements(parsed(page)):
-        kids = [c.key for c in e.children if isinstance(c, Element) and c.tag not in _INLINE]
+        out.append((e.key, 2, 0))
+        kids = [c.key for c in branches(e)]
         runs = [k for i, k in enumerate(kids) if not i or kids[i - 1] != k]
         if runs:
             out.append((e.key, 0, zlib.crc32(repr(runs).encode())))
@@ -175,8 +191,12 @@ def main_text(page: str, importance: dict[int, float] | None = None) -> str:
     kept: dict[int, float] = {}
     order = list(elements(root))
     for e in reversed(order):
-        own = 1.0 if e.main else seen.get(e.key, 1.0)
-        kept[id(e)] = max([own, *(kept[id(c)] for c in e.children if isinstance(c, Element) and id(c) in kept and not c.noise)])
+        below = branches(e)
+        if e.main:
+            own = 1.0
+        else:
+            own = seen.get(e.key, 1.0) if below or _flat(own_text(e)) else 0.0
+        kept[id(e)] = max([own, *(kept[id(c)] for c in below if not c.noise)])
     blocks: list[tuple[bool, str]] = []
     pending: list[str] = []
 
@@ -215,7 +235,7 @@ def _host():
 
 
 def style_trees(pages: DataFrame) -> DataFrame:
-    """host, element, importance of every element of hosts with MIN_PAGES pages or more (url, html; nulls count as empty).
+    """host, element, importance of every element on MIN_PAGES pages of a host or more (url, html; nulls count as empty).
 
     Pages of a host with the same facts are copies and count once.
     """
@@ -234,11 +254,15 @@ def style_trees(pages: DataFrame) -> DataFrame:
     facts = rows.dropDuplicates(["host", "page"]).select("host", F.explode(F.arrays_zip("code", "hash")).alias("f"))
     facts = facts.select("host", F.shiftright("f.code", 2).alias("element"), F.col("f.code").bitwiseAND(F.lit(3)).alias("kind"), "f.hash")
     counted = facts.groupBy("host", "element", "kind", "hash").agg(F.count("*").alias("n"))
-    n, total = F.col("n"), F.sum("n")
-    kinds = counted.groupBy("host", "element", "kind").agg(total.alias("total"), F.sum(n * F.log(n.cast("double"))).alias("nlogn"))
-    # sum p log p over sequences is entropy itself; of texts, a text on c of m pages has an entropy of log c / log m
-    spread = F.when(F.col("total") > 1, F.col("nlogn") / F.col("total") / F.log(F.col("total").cast("double"))).otherwise(0.0)
-    return kinds.where(F.col("total") >= MIN_PAGES).groupBy("host", "element").agg(F.max(1 - spread).alias("importance"))
+    n = F.col("n")
+
+    def of(kind: int):
+        """One less the mean, over the facts of a kind, of log c / log m, for a fact on c of the element's m pages."""
+        mine = F.when(F.col("kind") == kind, n)
+        return 1 - F.sum(mine * F.log(n.cast("double"))) / F.sum(mine) / F.log(F.max(F.when(F.col("kind") == 2, n)).cast("double"))
+
+    kinds = counted.groupBy("host", "element").agg(F.max(F.when(F.col("kind") == 2, n)).alias("pages"), of(0).alias("shown"), of(1).alias("said"))
+    return kinds.where(F.col("pages") >= MIN_PAGES).select("host", "element", F.coalesce(F.greatest("shown", "said"), F.lit(0.0)).alias("importance"))
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -61,3 +61,30 @@ def test_copies_of_a_page_keep_their_text(spark):
 def test_a_marked_article_below_repeated_branches_stays(spark):
     page = "<body><div class=a><div class=b><article><h1>T</h1><p>text</p></article></div></div><div class=c><p>{}</p></div></body>"
     assert texts(spark, [("http://a/", page.format(i)) for i in range(8)]) == ["T\n\ntext"] * 8
+
+
+def test_repeated_lists_and_empty_elements_go(spark):
+    menu = "".join(f"<li>Item {k}</li>" for k in range(20))
+    page = f"<body><ul class=top>{menu}</ul><div class=x>Hello<br></div><div class=y><p>Same</p><p></p><hr></div><table><tr><td>a<td>b<td>c</table><div class=text><p>Story {{}}</p></div></body>"
+    assert texts(spark, [("http://a/", page.format(i)) for i in range(9)]) == [f"Story {i}" for i in range(9)]
+
+
+def test_one_page_and_few_pages_are_no_tree(spark):
+    page = "<body><div><p>a{0}<p>b{0}<p>c{0}<p>d{0}<p>e{0}<p>f{0}</div><p class=z>Same</body>"
+    for n in (1, 4):
+        assert all(x.endswith("Same") for x in texts(spark, [("http://a/", page.format(i)) for i in range(n)]))
+    pages = spark.createDataFrame([("http://a/", page.format(0))], "url string, html string")
+    assert html.style_trees(pages).count() == 0
+
+
+def test_entropies_are_to_the_base_of_the_pages_that_hold_the_element(spark):
+    rows = [("http://a/", f"<body><p>Menu<p>More<p>Part {i // 4}<div>{i}</div></body>") for i in range(16)]
+    got = sorted(round(r["importance"], 6) for r in html.style_trees(spark.createDataFrame(rows, "url string, html string")).collect())
+    # p: two texts on 16 of 16 pages, one on 4 of 16; root and body: one sequence; div: 16 texts
+    assert got == [0.0, 0.0, round(1 - (16 + 16 + 16 * 0.5) / 48, 6), 1.0]
+
+
+def test_blocks_in_inline_elements_count(spark):
+    page = "<body><section><a href=x><div>Story {}</div></a></section><section class=s><a href=x><div>Same</div></a></section></body>"
+    assert html.main_text(page.format(1)) == "Story 1\n\nSame"
+    assert texts(spark, [("http://a/", page.format(i)) for i in range(6)]) == [f"Story {i}" for i in range(6)]
