@@ -186,7 +186,10 @@ def style_facts(page: str) -> list[tuple[int, int, int]]:
 
 
 def main_text(page: str, importance: dict[int, float] | None = None) -> str:
-    """Blocks of the page's important branches, in page order, two line feeds between them."""
+    """Blocks of the page's important branches, in page order, two line feeds between them.
+
+    Of marked articles, branches of low importance go too, unless no text in them would be left.
+    """
     root, seen = parsed(page), importance or {}
     kept: dict[int, float] = {}
     order = list(elements(root))
@@ -197,34 +200,42 @@ def main_text(page: str, importance: dict[int, float] | None = None) -> str:
         else:
             own = seen.get(e.key, 1.0) if below or _flat(own_text(e)) else 0.0
         kept[id(e)] = max([own, *(kept[id(c)] for c in below if not c.noise)])
-    blocks: list[tuple[bool, str]] = []
-    pending: list[str] = []
-
-    def flush(main: bool) -> None:
-        if text := _flat("".join(pending)):
-            blocks.append((main, text))
-        pending.clear()
 
-    todo: list = [(root, False, False)]
-    while todo:
-        e, main, leaving = todo.pop()
-        if isinstance(e, str):
-            pending.append(e)
-        elif e.tag in ("br",):
-            pending.append(" ")
-        elif leaving:
-            flush(main)
-        elif e.noise or not (main or e.main) and kept.get(id(e), 1.0) < LOW:
-            if e.tag not in _INLINE:
+    def read(low: float) -> list[tuple[bool, str]]:
+        """Blocks, and whether they are in a main element; branches there go below ``low``."""
+        blocks: list[tuple[bool, str]] = []
+        pending: list[str] = []
+
+        def flush(main: bool) -> None:
+            if text := _flat("".join(pending)):
+                blocks.append((main, text))
+            pending.clear()
+
+        todo: list = [(root, False, False)]
+        while todo:
+            e, main, leaving = todo.pop()
+            if isinstance(e, str):
+                pending.append(e)
+            elif e.tag in ("br",):
+                pending.append(" ")
+            elif leaving:
                 flush(main)
-        elif e.tag in _INLINE:
-            todo += [(c, main, False) for c in reversed(e.children)]
-        else:
-            flush(main)
-            inside = main or e.main
-            todo.append((e, inside, True))
-            todo += [(c, inside, False) for c in reversed(e.children)]
-    flush(False)
+            elif e.noise or kept.get(id(e), 1.0) < (low if main else LOW):
+                if e.tag not in _INLINE:
+                    flush(main)
+            elif e.tag in _INLINE:
+                todo += [(c, main, False) for c in reversed(e.children)]
+            else:
+                flush(main)
+                inside = main or e.main
+                todo.append((e, inside, True))
+                todo += [(c, inside, False) for c in reversed(e.children)]
+        flush(False)
+        return blocks
+
+    blocks = read(LOW)
+    if not any(main for main, _ in blocks) and any(e.main for e in order):
+        blocks = read(0.0)  # nothing of what is marked differs between pages
     if any(main for main, _ in blocks):
         blocks = [b for b in blocks if b[0]]
     return "\n\n".join(t for _, t in blocks)

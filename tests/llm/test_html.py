@@ -88,3 +88,10 @@ def test_blocks_in_inline_elements_count(spark):
     page = "<body><section><a href=x><div>Story {}</div></a></section><section class=s><a href=x><div>Same</div></a></section></body>"
     assert html.main_text(page.format(1)) == "Story 1\n\nSame"
     assert texts(spark, [("http://a/", page.format(i)) for i in range(6)]) == [f"Story {i}" for i in range(6)]
+
+
+def test_what_a_host_repeats_goes_from_marked_articles_too(spark):
+    page = "<body><article><h1>Title {0}</h1><div class=box><p>All stories of this site are free.</p></div><p>Story {0}</p><section><div class=who>By us<br></div></section></article></body>"
+    same = "<body data-id={0}><article><h1>T</h1><p>text</p></article><p>{0}</p></body>"
+    rows = [("http://a/", page.format(i)) for i in range(7)] + [("http://b/", same.format(i)) for i in range(7)]
+    assert texts(spark, rows) == [f"Title {i}\n\nStory {i}" for i in range(7)] + ["T\n\ntext"] * 7
