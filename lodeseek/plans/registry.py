@@ -173,7 +173,7 @@ def bm25_normalized(spark, sf):
 
 @query
 def bm25_batch_queries(spark, sf):
-    """Two rare words of each benchmark item as its query."""
+    """The first two words of over three letters of each benchmark item as its query; whole items are in bm25_batch_whole_items."""
     words = F.filter(tx.tokens(F.col("text")), lambda w: F.length(w) > 3)
     asked = read(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(F.array_distinct(words), 1, 2), " ").alias("text"))
     c = _chunks(spark, sf)
@@ -181,6 +181,15 @@ def bm25_batch_queries(spark, sf):
     return out.select("query_id", "chunk_id", F.round("rank", 8).alias("rank"))
 
 
+@query
+def bm25_batch_whole_items(spark, sf):
+    """All words of each benchmark item as its query."""
+    asked = read(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    c = _chunks(spark, sf)
+    out = fulltext.bm25_batch(fulltext.postings(c), fulltext.lengths(c), asked, 10)
+    return out.select("query_id", "chunk_id", F.round("rank", 8).alias("rank"))
+
+
 # vectors
 
 
