@@ -35,9 +35,19 @@ def search_vectors(vectors: DataFrame, query: Sequence[float], k: int = 20) -> D
 
 
 def search_batch(vectors: DataFrame, queries: Sequence[tuple[int, Sequence[float]]], k: int) -> DataFrame:
-    """query_id, chunk_id, distance, place (from 1) of each query's k nearest; tasks send k rows a query on."""
-    if len(queries) > BATCH_QUERIES:
-        raise ValueError(f"{len(queries)} queries; a batch holds {BATCH_QUERIES}")
+    """query_id, chunk_id, distance, place (from 1) of each query's k nearest; tasks send k rows a query on.
+
+    The vectors are read once for each BATCH_QUERIES queries.
+    """
+    near = _near(vectors, queries[:BATCH_QUERIES], k)
+    for at in range(BATCH_QUERIES, len(queries), BATCH_QUERIES):
+        near = near.unionByName(_near(vectors, queries[at : at + BATCH_QUERIES], k))
+    w = Window.partitionBy("query_id").orderBy("distance", "chunk_id")
+    return near.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
+
+
+def _near(vectors: DataFrame, queries: Sequence[tuple[int, Sequence[float]]], k: int) -> DataFrame:
+    """query_id, chunk_id, distance of each query's k nearest in each task."""
     ids = [int(i) for i, _ in queries]
     q = np.array([v for _, v in queries], float).reshape(len(ids), -1)
     q = q / np.maximum(np.sqrt((q * q).sum(axis=1, keepdims=True)), 1e-300)
@@ -59,9 +69,7 @@ def search_batch(vectors: DataFrame, queries: Sequence[tuple[int, Sequence[float
         got = [(i, int(c), float(d)) for i, rows in zip(ids, best, strict=True) for d, c in rows]
         yield pa.RecordBatch.from_arrays([pa.array([g[c] for g in got], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], ["query_id", "chunk_id", "distance"])
 
-    near = vectors.select(F.col("chunk_id").cast("long"), "embedding").mapInArrow(task, "query_id long, chunk_id long, distance double")
-    w = Window.partitionBy("query_id").orderBy("distance", "chunk_id")
-    return near.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
+    return vectors.select(F.col("chunk_id").cast("long"), "embedding").mapInArrow(task, "query_id long, chunk_id long, distance double")
 
 
 def hits_of(near: DataFrame, chunks: DataFrame, files: DataFrame) -> DataFrame:

@@ -205,11 +205,20 @@ def knn_topk(spark, sf):
 
 @query
 def knn_batch(spark, sf):
-    """The ten nearest of the first twenty vectors, a set of queries of fixed size."""
+    """The ten nearest of the first twenty vectors, a set of queries of fixed size; the one that grows is in knn_batch_every_50th."""
     out = vector.search_batch(TableStore(spark, sf).table("vectors"), _query_vectors(spark, sf, 20), 10)
     return out.select("query_id", "chunk_id", "place", F.round("distance", 6).alias("distance"))
 
 
+@query
+def knn_batch_every_50th(spark, sf):
+    """The ten nearest, among all vectors, of every vector whose id is divisible by 50."""
+    s = TableStore(spark, sf)
+    asked = [(r["chunk_id"], r["embedding"]) for r in s.table("vectors").where("chunk_id % 50 = 0").select("chunk_id", "embedding").orderBy("chunk_id").collect()]
+    out = vector.search_batch(s.table("vectors"), asked, 10)
+    return out.select("query_id", "chunk_id", "place", F.round("distance", 6).alias("distance"))
+
+
 @query
 def knn_active_after_k(spark, sf):
     s = TableStore(spark, sf)

@@ -4,6 +4,9 @@ import math
 import re
 from collections import Counter
 
+import numpy as np
+
+from lodeseek.operators import vector
 from lodeseek.plans import registry
 
 
@@ -26,3 +29,21 @@ def test_whole_benchmark_items_are_asked(spark, tmp_path):
                 want[item, doc] = round(rank, 6)
     got = {(r["query_id"], r["chunk_id"]): round(r["rank"], 6) for r in registry.QUERIES["bm25_batch_whole_items"](spark, str(tmp_path)).collect()}
     assert got == want and {k for k in got if k[0] == 1} == {(1, 1), (1, 4)}
+
+
+def test_every_50th_vector_is_asked(spark, tmp_path):
+    x = np.random.default_rng(1).normal(size=(1300, 8)).astype("float32")
+    spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    spark.createDataFrame([(1, "t", "en", "src1")], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = registry.QUERIES["knn_batch_every_50th"](spark, str(tmp_path)).collect()
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    want = {(q, int(c), n + 1) for q in range(0, 1300, 50) for n, c in enumerate(np.argsort(1 - unit[q] @ unit.T, kind="stable")[:10])}
+    assert len(want) == 260 and {(r["query_id"], r["chunk_id"], r["place"]) for r in got} == want and len(got) == 260
+
+
+def test_more_queries_than_a_batch_holds(spark, monkeypatch):
+    rows = [(i, [math.cos(i / 9), math.sin(i / 9)]) for i in range(23)]
+    df = spark.createDataFrame(rows, "chunk_id long, embedding array<double>")
+    whole = vector.search_batch(df, rows, 3).orderBy("query_id", "place").collect()
+    monkeypatch.setattr(vector, "BATCH_QUERIES", 5)
+    assert len(whole) == 69 and vector.search_batch(df, rows, 3).orderBy("query_id", "place").collect() == whole
