@@ -78,13 +78,13 @@ def _both(a: str, b: str) -> Column:
 
 
 def _leaks(documents: DataFrame, items: DataFrame, width: int, longest: int) -> DataFrame:
-    """items: item_id, sh (all of this shingle width). The best window of each document and item, if similar enough."""
+    """items: item_id, u (of its text), sh (all of this shingle width). The best window of each document and item, if similar enough."""
     lane = next(b for b in (8, 16, 32) if longest < 1 << (b - 1))
-    items = items.select("item_id", "sh", F.size("sh").alias("n"), F.array_distinct("sh").alias("kinds"))
-    index = runtime.written(items.select(F.col("item_id"), "n", F.explode("kinds").alias("h")), "items")
+    items = items.select("item_id", "u", "sh", F.size("sh").alias("n"), F.array_distinct("sh").alias("kinds"))
+    index = runtime.written(items.select("item_id", "u", "n", F.explode("kinds").alias("h")), "items")
     keys = documents.select("doc_id", F.xxhash64("text").alias("t"), "text")
     seeds = _hashed(keys, width, ["doc_id", "t"]).select("doc_id", "t", F.posexplode("sh").alias("p", "h")).join(runtime.joined_side(index), "h")
-    enough = seeds.groupBy("doc_id", "t", "item_id", "n").agg(F.collect_set("p").alias("at")).where(100 * F.size("at") >= PERCENT * F.col("n"))
+    enough = seeds.groupBy("doc_id", "t", "item_id", "u", "n").agg(F.collect_set("p").alias("at")).where(100 * F.size("at") >= PERCENT * F.col("n"))
     enough = runtime.written(enough, "seeds")
     some = runtime.written(enough.select(F.col("doc_id").alias("_d"), F.col("t").alias("_t")).distinct(), "some")
     held = keys.join(runtime.joined_side(some), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("t") == F.col("_t")), "left_semi").dropDuplicates(["doc_id", "t"])
@@ -97,17 +97,22 @@ def _leaks(documents: DataFrame, items: DataFrame, width: int, longest: int) ->
     windows = runtime.written(windows.withColumn("print", _simhash(F.col("sh"), F.size("sh"), lane)), "windows")
     prints = items.withColumn("print", _simhash(F.col("sh"), F.col("n"), lane))
     near = F.array(*[F.struct(F.lit(i).alias("i"), _block(F.col("print"), i).bitwiseXOR(F.lit(x)).alias("v")) for i in range(BLOCKS) for x in _flips()])
-    prints = runtime.written(prints.select("item_id", "n", F.col("print").alias("own"), F.explode(near).alias("b")).select("item_id", "n", "own", "b.*"), "index")
+    prints = runtime.written(prints.select("item_id", "u", "n", F.col("print").alias("own"), F.explode(near).alias("b")).select("item_id", "u", "n", "own", "b.*"), "index")
     blocks = F.array(*[F.struct(F.lit(i).alias("i"), _block(F.col("print"), i).alias("v")) for i in range(BLOCKS)])
     cut = windows.select("doc_id", "t", "n", "start", "print", F.explode(blocks).alias("b")).select("doc_id", "t", "n", "start", "print", "b.*")
     found = cut.join(runtime.joined_side(prints), ["n", "i", "v"]).where(F.bit_count(F.col("print").bitwiseXOR(F.col("own"))) <= RADIUS)
-    found = found.select("doc_id", "t", "n", "start", "item_id").distinct()
+    found = found.select("doc_id", "t", "n", "start", "item_id", "u").distinct()
     pairs = found.join(windows.select(F.col("doc_id").alias("_d"), F.col("t").alias("_t"), F.col("n").alias("_n"), F.col("start").alias("_s"), F.col("sh").alias("a")), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("t") == F.col("_t")) & (F.col("n") == F.col("_n")) & (F.col("start") == F.col("_s")))
-    pairs = pairs.join(items.select(F.col("item_id").alias("_item"), F.col("sh").alias("b")), F.col("item_id").eqNullSafe(F.col("_item"))).withColumn("both", _both("a", "b"))
+    pairs = pairs.join(items.select(F.col("item_id").alias("_item"), F.col("u").alias("_u"), F.col("sh").alias("b")), F.col("item_id").eqNullSafe(F.col("_item")) & (F.col("u") == F.col("_u"))).withColumn("both", _both("a", "b"))
     all_ = F.size("a") + F.size("b") - F.col("both")
     pairs = pairs.withColumn("all", all_).where(100 * F.col("both") >= PERCENT * F.col("all"))
-    best = pairs.groupBy("doc_id", "item_id").agg(F.min(F.struct((-F.col("both") / F.col("all")).alias("s"), "start", F.size("a").alias("m"))).alias("x"))
-    return best.select("doc_id", "item_id", F.col("x.start").cast("int").alias("start"), (F.col("x.m") + width - 1).cast("int").alias("n_words"), (-F.col("x.s")).alias("similarity"))
+    return _best(pairs.select("doc_id", "item_id", F.col("start").cast("int").alias("start"), (F.size("a") + width - 1).cast("int").alias("n_words"), (F.col("both") / F.col("all")).alias("similarity")))
+
+
+def _best(found: DataFrame) -> DataFrame:
+    """The most similar window of each document and item, the first of equals."""
+    best = found.groupBy("doc_id", "item_id").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "start", "n_words")).alias("x"))
+    return best.select("doc_id", "item_id", "x.start", "x.n_words", (-F.col("x.s")).alias("similarity"))
 
 
 def contamination(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -115,16 +120,17 @@ def contamination(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     documents: doc_id, text; benchmark: item_id, text; other columns are ignored. Words are lower-cased in A-Z. An item
     of fewer than five words has one shingle, all its words; a document shorter than an item is one window. Null and
-    empty texts match nothing. Repeated rows count once; rows of one doc_id with other texts are searched alike.
+    empty texts match nothing. Repeated rows count once; rows of one doc_id or item_id (null is one, too) with other
+    texts are searched alike.
     """
     texts = documents.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    items = benchmark.select("item_id", _words("text").alias("w")).where(F.size("w") > 0).dropDuplicates(["item_id"])
+    items = benchmark.select("item_id", _words("text").alias("w")).where(F.size("w") > 0).withColumn("u", F.xxhash64("w")).dropDuplicates(["item_id", "u"])
     items = runtime.written(items.withColumn("width", F.least(F.size("w"), F.lit(WIDTH))), "benchmark")
     out = None
     for r in items.groupBy("width").agg(F.max(F.size("w")).alias("most")).orderBy("width").collect():  # five rows at most
-        coded = items.where(F.col("width") == r["width"]).select("item_id", _shingles(F.col("w"), r["width"]).alias("sh"))
+        coded = items.where(F.col("width") == r["width"]).select("item_id", "u", _shingles(F.col("w"), r["width"]).alias("sh"))
         found = _leaks(texts, coded, r["width"], r["most"])
-        out = found if out is None else out.unionByName(found)
+        out = found if out is None else _best(out.unionByName(found))
     return out if out is not None else texts.limit(0).crossJoin(benchmark.limit(0).select("item_id")).select("doc_id", "item_id", F.lit(0).alias("start"), F.lit(0).alias("n_words"), F.lit(0.0).alias("similarity"))
 
 

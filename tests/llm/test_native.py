@@ -82,3 +82,12 @@ def test_decontamination_cases(spark):
     assert got[1, 100] == (500, 40, 1.0) and got[7, 100][0] == 0 and got[4, 100] == (0, 36, round(32 / 36, 4)) and got[13, 102] == (1, 2, 1.0)
     assert got[3, 100] == (50, 40, round(31 / 41, 4))
     assert decontaminate.contamination(df.limit(0), bench).count() == 0 and decontaminate.contamination(df, bench.limit(0)).count() == 0
+
+
+def test_all_texts_of_an_item_are_searched(spark):
+    passages = [" ".join(f"{w}{k}" for k in range(12)) for w in ("ask", "say", "nil", "void")]
+    bench = spark.createDataFrame([(1, passages[0]), (1, passages[1]), (1, passages[1].upper()), (1, "tiny words"), (None, passages[2]), (None, passages[3])], "item_id long, text string")
+    docs = [(i, f"some words {p} at the end") for i, p in enumerate(passages)] + [(4, f"a {passages[0]} b c {passages[1]}"), (5, f"so tiny words {passages[0]} z"), (6, "tiny words")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = sorted((r["doc_id"], r["item_id"] or 0, r["start"], r["n_words"], r["similarity"]) for r in decontaminate.contamination(df, bench).collect())
+    assert got == [(0, 1, 2, 12, 1.0), (1, 1, 2, 12, 1.0), (2, 0, 2, 12, 1.0), (3, 0, 2, 12, 1.0), (4, 1, 1, 12, 1.0), (5, 1, 1, 2, 1.0), (6, 1, 0, 2, 1.0)]
