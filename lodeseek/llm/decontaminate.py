@@ -3,9 +3,11 @@
 A window has as many words as an item and is compared by five-word shingles, each as often as it occurs. Only documents
 with enough of an item's shingles can hold a similar window, so windows are laid there, around every shingle in common.
 Windows and items get 64-bit SimHashes; fingerprints are cut into BLOCKS blocks, and items are indexed under every block
-value within RADIUS // BLOCKS bits, so no pair within RADIUS bits is missed. Pairs within RADIUS are verified by exact
-weighted similarity, sum of minima over sum of maxima of the shingles' counts. Windows of similarity 0.75 differ in
-about 10 bits, and beyond RADIUS with a chance of about 1e-5 each.
+value within RADIUS // BLOCKS bits, so no pair within RADIUS bits is missed. Windows of distinct shingles and similarity
+0.75 differ in about 11 bits, and beyond RADIUS with a chance of about 1e-4 each; where a repeated shingle makes the
+difference, in about 26 bits. So windows that hold as many of an item's shingles as the similarity needs are taken
+whatever their fingerprints. All are verified by exact weighted similarity, sum of minima over sum of maxima of the
+shingles' counts.
 """
 
 from __future__ import annotations
@@ -101,7 +103,11 @@ def _leaks(documents: DataFrame, items: DataFrame, width: int, longest: int) ->
     blocks = F.array(*[F.struct(F.lit(i).alias("i"), _block(F.col("print"), i).alias("v")) for i in range(BLOCKS)])
     cut = windows.select("doc_id", "t", "n", "start", "print", F.explode(blocks).alias("b")).select("doc_id", "t", "n", "start", "print", "b.*")
     found = cut.join(runtime.joined_side(prints), ["n", "i", "v"]).where(F.bit_count(F.col("print").bitwiseXOR(F.col("own"))) <= RADIUS)
-    found = found.select("doc_id", "t", "n", "start", "item_id", "u").distinct()
+    seeded = enough.select(F.col("doc_id").alias("_d"), F.col("t").alias("_t"), F.col("n").alias("_n"), "item_id", "u", "at")
+    seeded = windows.select("doc_id", "t", "n", "start", F.size("sh").alias("m")).join(seeded, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("t") == F.col("_t")) & (F.col("n") == F.col("_n")))
+    inside = F.size(F.filter("at", lambda p: (p >= F.col("start")) & (p < F.col("start") + F.col("n"))))
+    seeded = seeded.where((100 + PERCENT) * inside >= PERCENT * (F.col("m") + F.col("n")))
+    found = found.select("doc_id", "t", "n", "start", "item_id", "u").unionByName(seeded.select("doc_id", "t", "n", "start", "item_id", "u")).distinct()
     pairs = found.join(windows.select(F.col("doc_id").alias("_d"), F.col("t").alias("_t"), F.col("n").alias("_n"), F.col("start").alias("_s"), F.col("sh").alias("a")), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("t") == F.col("_t")) & (F.col("n") == F.col("_n")) & (F.col("start") == F.col("_s")))
     pairs = pairs.join(items.select(F.col("item_id").alias("_item"), F.col("u").alias("_u"), F.col("sh").alias("b")), F.col("item_id").eqNullSafe(F.col("_item")) & (F.col("u") == F.col("_u"))).withColumn("both", _both("a", "b"))
     all_ = F.size("a") + F.size("b") - F.col("both")

@@ -91,3 +91,11 @@ def test_all_texts_of_an_item_are_searched(spark):
     df = spark.createDataFrame(docs, "doc_id long, text string")
     got = sorted((r["doc_id"], r["item_id"] or 0, r["start"], r["n_words"], r["similarity"]) for r in decontaminate.contamination(df, bench).collect())
     assert got == [(0, 1, 2, 12, 1.0), (1, 1, 2, 12, 1.0), (2, 0, 2, 12, 1.0), (3, 0, 2, 12, 1.0), (4, 1, 1, 12, 1.0), (5, 1, 1, 2, 1.0), (6, 1, 0, 2, 1.0)]
+
+
+def test_windows_that_differ_by_a_repeated_shingle(spark):
+    rest = [" ".join(f"r{i}x{k}" for k in range(86)) for i in range(8)]
+    bench = spark.createDataFrame([(i, "mo " * 14 + "na " * 4 + r) for i, r in enumerate(rest)], "item_id long, text string")
+    df = spark.createDataFrame([(i, "na " * 18 + r) for i, r in enumerate(rest)], "doc_id long, text string")
+    got = sorted((r["doc_id"], r["item_id"], r["start"], r["n_words"], r["similarity"]) for r in decontaminate.contamination(df, bench).collect())
+    assert got == [(i, i, 0, 104, 86 / 114) for i in range(8)]
