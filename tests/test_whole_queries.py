@@ -1,5 +1,6 @@
 """Registered queries that do a whole job beside one whose SQL is bounded, on small tables of their own."""
 
+import hashlib
 import math
 import re
 from collections import Counter
@@ -47,3 +48,10 @@ def test_more_queries_than_a_batch_holds(spark, monkeypatch):
     whole = vector.search_batch(df, rows, 3).orderBy("query_id", "place").collect()
     monkeypatch.setattr(vector, "BATCH_QUERIES", 5)
     assert len(whole) == 69 and vector.search_batch(df, rows, 3).orderBy("query_id", "place").collect() == whole
+
+
+def test_pages_up_to_the_scanners_size(spark, tmp_path):
+    pages = [None, "", "x", "é" * 2000, "a" * 1_048_576, "a" * 1_048_577, "é" * 524_289, "a\0b"]
+    spark.createDataFrame(list(enumerate(pages)), "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r["page_id"]: (r["size"], r["hash"]) for r in registry.QUERIES["scan_max_file_size"](spark, str(tmp_path)).collect()}
+    assert got == {i: (len(b := pages[i].encode()), hashlib.sha256(b).hexdigest()) for i in (2, 3, 4)}
