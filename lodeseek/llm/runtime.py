@@ -10,13 +10,17 @@ from pyspark.sql import functions as F
 
 #: Rows above which a table is joined by a shuffle and not by a broadcast.
 BROADCAST_ROWS = 200_000
+#: Rows of one key that a task may get.
+HOT_ROWS = 2_000
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in ``spark.checkpoint.dir``; one of our own only where it is unset."""
+    """The shared folder that the cluster names in ``spark.checkpoint.dir``; one of our own only in local mode where it is unset."""
     own = spark.conf.get("spark.checkpoint.dir", None)
     if not own:
         own = spark.sparkContext.getCheckpointDir()
+    if not own and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not own:
         own = f"file://{tempfile.mkdtemp(prefix='lodeseek-')}"
         spark.sparkContext.setCheckpointDir(own)
@@ -51,6 +55,21 @@ def joined_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if small(df, rows) else df
 
 
+def joined_unevenly(rows: DataFrame, keyed: DataFrame, keys: list[str], count: str) -> DataFrame:
+    """``rows`` joined with the written ``keyed``, which has each key once and how often ``rows`` have it.
+
+    Frequent keys are broadcast, so that the rows of one stay where they are; the bound of frequent keeps their number
+    below BROADCAST_ROWS at any size. Rows of the other keys are shuffled.
+    """
+    most = keyed.agg(F.max(count).alias("most"), F.sum(count).alias("total")).first()
+    bound = max(HOT_ROWS, (most["total"] or 0) // BROADCAST_ROWS)
+    if (most["most"] or 0) <= bound:
+        return rows.join(keyed, keys)
+    hot = keyed.where(F.col(count) > bound)
+    cold = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(keyed.where(F.col(count) <= bound), keys)
+    return cold.unionByName(rows.join(F.broadcast(hot), keys))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

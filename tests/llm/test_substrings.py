@@ -60,3 +60,18 @@ def test_longest_previous_factors():
         w = raw[i : i + 20]
         assert (before[i] >= 20) == (0 <= raw.find(w) < i)
         assert (after[i] >= 20) == (raw.rfind(w) > i)
+
+
+def test_marks_between_surroundings_match_no_text(spark):
+    # each text's repeat begins after a byte that may be the number of a mark, too
+    rng = np.random.default_rng(9)
+    rows = [(i, (chr(32 + i % 90) + "".join(rng.choice(list("abcdefgh"), 30))) * 5) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    assert ours(substrings.remove_repeats(df, 40, True)) == brute(rows, 40, True)
+
+
+def test_null_ids_and_repeated_rows(spark):
+    text = "".join(np.random.default_rng(3).choice(list("abcdefgh"), 90))
+    df = spark.createDataFrame([(None, text), (1, text), (1, text), (2, "z" + text), (None, "other"), (3, None)], "doc_id long, text string")
+    removed = sorted((r["doc_id"] or 0, r["n_bytes"], r["n_removed"]) for r in substrings.remove_repeats(df, 40, True).collect())
+    assert removed == [(0, 5, 0), (0, 90, 0), (1, 90, 90), (1, 90, 90), (2, 91, 90), (3, 0, 0)]
