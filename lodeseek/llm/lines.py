@@ -1,10 +1,10 @@
 """Line deduplication by winnowing over line hashes, with DataFrame functions alone.
 
 A run of lines counts if it has ``window`` lines or ``chars`` characters; blank lines are no part of runs. Every window,
-the shortest such run from a line onward or back from a line, names the line of its smallest hash as its fingerprint, so
-two equal runs always share fingerprints. Positions are joined on fingerprints; around those that recur, the matches
-are extended both ways to the whole windows through them, and windows that occur before are deleted. Windows overlap,
-so the longest repeated run goes as one.
+the shortest such run from a line onward or back from a line, names the line of its smallest hash, and the lines so
+named are the text's fingerprints: two equal runs always share some, and only fingerprints are written and shuffled.
+Positions are joined on them; from those that recur, the match is extended both ways to the windows that named the line,
+which are compared by text. Windows that occur before are deleted; they overlap, so the longest repeated run goes as one.
 """
 
 from __future__ import annotations
@@ -40,35 +40,57 @@ def _windows(lines: Column, window: int, chars: int) -> Column:
     return F.when(n > 0, F.array_distinct(F.filter(every, lambda w: w["s"].isNotNull() & w["e"].isNotNull())))
 
 
+def _lines(text: str) -> Column:
+    """(i, x, h, n) of the lines that aren't blank: index, text without spaces at its ends, hash, length."""
+    lines = F.filter(F.transform(F.split(text, "\n", -1), lambda x, i: F.struct(i.alias("i"), F.btrim(x).alias("x"))), lambda p: p["x"] != "")
+    return F.transform(lines, lambda p: F.struct(p["i"].alias("i"), p["x"].alias("x"), F.xxhash64(p["x"]).alias("h"), F.length(p["x"]).alias("n")))
+
+
+def _run(w: Column) -> Column:
+    return F.slice("lines", w["s"] + 1, w["e"] - w["s"] + 1)
+
+
+def _least(w: Column) -> Column:
+    """The window's fingerprint: its smallest hash, and the index of the last line that has it."""
+    least = F.array_min(F.transform(_run(w), lambda p: F.struct(p["h"].alias("h"), (-p["i"]).alias("i"))))
+    return runtime.let(least, lambda x: F.struct(x["h"].alias("print"), (-x["i"]).alias("place")))
+
+
+def fingerprints(documents: DataFrame, window: int = WINDOW, chars: int = CHARS) -> DataFrame:
+    """doc_id, t (a hash of the text), print, place (index of the line): the distinct minima of all windows of each text."""
+    rows = documents.where("text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("t"), _lines("text").alias("lines")).where(F.size("lines") > 0)
+    chosen = F.array_distinct(F.transform(_windows(F.col("lines"), window, chars), _least))
+    return rows.select("doc_id", "t", F.explode(chosen).alias("p")).select("doc_id", "t", "p.print", "p.place")
+
+
 def _repeats(documents: DataFrame, window: int, chars: int) -> DataFrame:
     """doc_id, hash of text, and the indices of its lines that later copies of runs cover."""
-    split = F.split("text", "\n", -1)
-    lines = F.filter(F.transform(split, lambda x, i: F.struct(i.alias("i"), F.btrim(x).alias("x"))), lambda p: p["x"] != "")
-    lines = F.transform(lines, lambda p: F.struct(p["i"].alias("i"), F.xxhash64(p["x"]).alias("h"), F.hash(p["x"]).alias("g"), F.length(p["x"]).alias("n")))
-    rows = documents.where("text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("t"), lines.alias("lines")).where(F.size("lines") > 0)
-    rows = rows.select("doc_id", "t", "lines", F.explode(_windows(F.col("lines"), window, chars)).alias("w"))
-    run = F.slice("lines", F.col("w.s") + 1, F.col("w.e") - F.col("w.s") + 1)
-    rows = rows.select(
-        "doc_id", "t", F.get("lines", F.col("w.s"))["i"].alias("s"),
-        F.array_min(F.transform(run, lambda p: F.struct(p["h"].alias("h"), (-p["i"]).alias("i")))).alias("least"),
-        F.xxhash64(F.transform(run, lambda p: p["h"])).alias("k1"), F.hash(F.transform(run, lambda p: p["g"])).alias("k2"),
-        F.transform(run, lambda p: p["i"]).alias("covered"),
-    )
-    rows = runtime.written(rows.select("doc_id", "t", "s", F.col("least.h").alias("print"), (-F.col("least.i")).alias("place"), "k1", "k2", "covered"), "windows")
+    prints = runtime.written(fingerprints(documents, window, chars), "prints")
     place = F.struct("doc_id", "t", "place")
-    prints = rows.groupBy("print").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("print")
-    around = rows.join(prints, "print")
+    counted = prints.groupBy("print").agg(F.min(place).alias("a"), F.max(place).alias("b"), F.count("*").alias("m")).where("a <> b").select("print", "m")
+    joined = runtime.joined_unevenly(prints, runtime.written(counted, "recurring"), ["print"], "m")
+    found = runtime.written(joined.groupBy(F.col("doc_id").alias("_d"), F.col("t").alias("_t")).agg(F.collect_set("place").alias("at")), "found")
+    # the texts with recurring prints alone are laid out again, to extend the matches
+    same = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("t") == F.col("_t"))
+    texts = documents.where("text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("t"), "text")
+    texts = texts.join(runtime.joined_side(found.select("_d", "_t")), same, "left_semi").dropDuplicates(["doc_id", "t"])
+    rows = texts.join(found, same).select("doc_id", "t", "at", _lines("text").alias("lines"))
+    through = F.filter(_windows(F.col("lines"), window, chars), lambda w: F.array_contains("at", _least(w)["place"]))
+    rows = rows.select("doc_id", "t", "lines", F.explode(through).alias("w"))
+    run = _run(F.col("w"))
+    rows = rows.select("doc_id", "t", F.get("lines", F.col("w.s"))["i"].alias("s"), F.unhex(F.md5(F.array_join(F.transform(run, lambda p: p["x"]), "\n"))).alias("name"), F.transform(run, lambda p: p["i"]).alias("covered"))
+    rows = runtime.written(rows, "windows")
     start = F.struct("doc_id", "t", "s")
-    first = around.groupBy("k1", "k2").agg(F.min(start).alias("first"), F.max(start).alias("last")).where("first <> last").select("k1", "k2", "first")
-    later = around.join(first, ["k1", "k2"]).where(F.struct("doc_id", "t", "s") > F.col("first"))
+    first = rows.groupBy("name").agg(F.min(start).alias("first"), F.max(start).alias("last"), F.count("*").alias("m")).where("first <> last").select("name", "first", "m")
+    later = runtime.joined_unevenly(rows, runtime.written(first, "first"), ["name"], "m").where(F.struct("doc_id", "t", "s") > F.col("first"))
     return later.select("doc_id", "t", F.explode("covered").alias("i")).groupBy("doc_id", "t").agg(F.collect_set("i").alias("gone"))
 
 
 def drop_repeated_lines(documents: DataFrame, window: int = WINDOW, chars: int = CHARS) -> DataFrame:
     """``documents`` with later copies of runs of lines taken out of ``text``, and n_lines, n_removed (which replace columns of such names).
 
-    Order is that of (doc_id, position); a null doc_id comes first. Lines are compared without spaces at their ends and
-    deleted with their line break. Overlapping copies in one document collapse to what comes before the second. Null and
+    Order is that of (doc_id, position); a null doc_id comes first. Lines are compared without spaces at their ends, runs
+    by the MD5 of their lines' text, and deleted with their line break. Overlapping copies in one document collapse to what comes before the second. Null and
     empty texts stay, and rows of the same doc_id and text are one document and are treated alike. Rows and other
     columns stay as they are; a text of which all lines go becomes empty.
     """

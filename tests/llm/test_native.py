@@ -51,6 +51,28 @@ def test_lines_equal_brute_force(spark):
     assert {r["doc_id"]: r["text"] for r in lines.drop_repeated_lines(df, 3, 20).collect()} == want
 
 
+def test_fingerprints_are_the_minima_of_all_windows(spark):
+    rng = np.random.default_rng(6)
+    docs = [(i, "\n".join(rng.choice([f"w{k}" for k in range(50)], rng.integers(1, 60)))) for i in range(40)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {(r["doc_id"], r["place"]) for r in lines.fingerprints(df, 6, 10**6).collect()}
+    h = {r["x"]: r["h"] for r in spark.createDataFrame([(f"w{k}",) for k in range(50)], "x string").selectExpr("x", "xxhash64(x) h").collect()}
+    want = set()
+    for d, t in docs:
+        s = [h[x] for x in t.split("\n")]
+        for a in range(len(s) - 5):
+            want.add((d, max(i for i in range(a, a + 6) if s[i] == min(s[a : a + 6]))))
+    assert got == want and len(got) < 0.45 * sum(max(0, t.count("\n") - 4) for _, t in docs)
+
+
+def test_lines_are_found_by_their_fingerprints_alone(spark, monkeypatch):
+    df = spark.createDataFrame([(1, "a\nb\nc\nd"), (2, "a\nb\nc\ne")], "doc_id long, text string")
+    assert sorted(r["text"] for r in lines.drop_repeated_lines(df).collect()) == ["a\nb\nc\nd", "e"]
+    prints = lines.fingerprints
+    monkeypatch.setattr(lines, "fingerprints", lambda *a: prints(*a).where("place <> 1 AND place <> 2 AND place <> 0"))
+    assert sorted(r["text"] for r in lines.drop_repeated_lines(df).collect()) == ["a\nb\nc\nd", "a\nb\nc\ne"]
+
+
 def test_line_edges(spark):
     long = "\n".join(f"line number {i} of the passage" for i in range(2000))
     docs = [(1, long), (2, f"own\n{long}\nend"), (3, None), (4, ""), (5, "\n\n"), (6, "short\nshort"), (7, "x"), (7, "x"), (None, "q\nr\ns"), (9, "q\nr\ns")]
