@@ -1,13 +1,12 @@
 """Benchmark decontamination by SimHash over item-sized windows, with DataFrame functions alone.
 
-A window has as many words as an item and is compared by five-word shingles, each as often as it occurs. Only documents
-with enough of an item's shingles can hold a similar window, so windows are laid there, around every shingle in common.
-Windows and items get 64-bit SimHashes; fingerprints are cut into BLOCKS blocks, and items are indexed under every block
-value within RADIUS // BLOCKS bits, so no pair within RADIUS bits is missed. Windows of distinct shingles and similarity
-0.75 differ in about 11 bits, and beyond RADIUS with a chance of about 1e-4 each; where a repeated shingle makes the
-difference, in about 26 bits. So windows that hold as many of an item's shingles as the similarity needs are taken
-whatever their fingerprints. All are verified by exact weighted similarity, sum of minima over sum of maxima of the
-shingles' counts.
+A window has as many words as an item and is compared by five-word shingles, each as often as it occurs. Windows of every
+item's size are laid at every place of every document where they hold at least one shingle of an item of that size; no
+other window can be similar. Windows and items get 64-bit SimHashes, in which the second and later times of a shingle
+count as shingles of their own, so that bits differ as the weighted similarity does. Fingerprints are cut into BLOCKS
+blocks, and items are indexed under every block value within RADIUS // BLOCKS bits, so no pair within RADIUS bits is
+missed; windows of similarity 0.75 differ in about 11 bits, and beyond RADIUS with a chance of about 1e-4 each. Pairs
+within RADIUS are verified by exact weighted similarity, sum of minima over sum of maxima of the shingles' counts.
 """
 
 from __future__ import annotations
@@ -79,36 +78,56 @@ def _both(a: str, b: str) -> Column:
     return F.aggregate(F.array_distinct(b), F.lit(0), lambda acc, x: acc + F.least(count(a, x), count(b, x)))
 
 
-def _leaks(documents: DataFrame, items: DataFrame, width: int, longest: int) -> DataFrame:
-    """items: item_id, u (of its text), sh (all of this shingle width). The best window of each document and item, if similar enough."""
-    lane = next(b for b in (8, 16, 32) if longest < 1 << (b - 1))
-    items = items.select("item_id", "u", "sh", F.size("sh").alias("n"), F.array_distinct("sh").alias("kinds"))
-    index = runtime.written(items.select("item_id", "u", "n", F.explode("kinds").alias("h")), "items")
+def _numbered(sh: str) -> Column:
+    """The shingles of an array with the second and later times of one as hashes of their own."""
+
+    def of(h: Column, i: Column) -> Column:
+        before = F.size(F.filter(F.slice(sh, F.lit(1), i), lambda y: y == h))
+        return F.when(before == 0, h).otherwise(F.xxhash64(h, before))
+
+    return F.when(F.size(F.array_distinct(sh)) == F.size(sh), F.col(sh)).otherwise(F.transform(sh, of))
+
+
+def windows_of(documents: DataFrame, items: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
+    """Hashed texts (doc_id, t, sh) that hold a shingle of an item, and in them doc_id, t, n, start of the windows of n shingles that do.
+
+    A text of fewer shingles than n is one window.
+    """
+    index = runtime.written(items.select(F.col("n"), F.explode("sh").alias("h")).distinct(), "index")
     keys = documents.select("doc_id", F.xxhash64("text").alias("t"), "text")
     seeds = _hashed(keys, width, ["doc_id", "t"]).select("doc_id", "t", F.posexplode("sh").alias("p", "h")).join(runtime.joined_side(index), "h")
-    enough = seeds.groupBy("doc_id", "t", "item_id", "u", "n").agg(F.collect_set("p").alias("at")).where(100 * F.size("at") >= PERCENT * F.col("n"))
-    enough = runtime.written(enough, "seeds")
-    some = runtime.written(enough.select(F.col("doc_id").alias("_d"), F.col("t").alias("_t")).distinct(), "some")
-    held = keys.join(runtime.joined_side(some), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("t") == F.col("_t")), "left_semi").dropDuplicates(["doc_id", "t"])
-    held = _hashed(held, width, ["doc_id", "t"]).select(F.col("doc_id").alias("_d"), F.col("t").alias("_t"), "sh")
+    seeds = runtime.written(seeds.groupBy(F.col("doc_id").alias("_d"), F.col("t").alias("_t"), "n").agg(F.collect_set("p").alias("at")), "seeds")
+    some = runtime.written(seeds.select("_d", "_t").distinct(), "some")
+    same = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("t") == F.col("_t"))
+    held = keys.join(runtime.joined_side(some), same, "left_semi").dropDuplicates(["doc_id", "t"])
+    held = runtime.written(_hashed(held, width, ["doc_id", "t"]), "held")
     last = F.greatest(F.size("sh") - F.col("n"), F.lit(0))
     starts = F.array_distinct(F.flatten(F.transform("at", lambda p: F.sequence(F.least(F.greatest(p - F.col("n") + 1, F.lit(0)), last), F.least(p, last)))))
-    laid = enough.join(held, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("t") == F.col("_t"))).select("doc_id", "t", "n", "sh", starts.alias("starts"))
-    laid = laid.groupBy("doc_id", "t", "n").agg(F.first("sh").alias("sh"), F.array_distinct(F.flatten(F.collect_list("starts"))).alias("starts"))
-    windows = laid.select("doc_id", "t", "n", F.explode("starts").alias("start"), "sh").select("doc_id", "t", "n", "start", F.slice("sh", F.col("start") + 1, F.col("n")).alias("sh"))
-    windows = runtime.written(windows.withColumn("print", _simhash(F.col("sh"), F.size("sh"), lane)), "windows")
-    prints = items.withColumn("print", _simhash(F.col("sh"), F.col("n"), lane))
-    near = F.array(*[F.struct(F.lit(i).alias("i"), _block(F.col("print"), i).bitwiseXOR(F.lit(x)).alias("v")) for i in range(BLOCKS) for x in _flips()])
-    prints = runtime.written(prints.select("item_id", "u", "n", F.col("print").alias("own"), F.explode(near).alias("b")).select("item_id", "u", "n", "own", "b.*"), "index")
+    return held, seeds.join(held, same).select("doc_id", "t", "n", "sh", F.explode(starts).alias("start"))
+
+
+def candidates(windows: DataFrame, items: DataFrame, longest: int) -> DataFrame:
+    """doc_id, t, n, start, item_id, u of all windows and items of n shingles whose SimHashes differ in RADIUS bits at most."""
+    lane = next(b for b in (8, 16, 32) if longest < 1 << (b - 1))
+    cut = windows.select("doc_id", "t", "n", "start", F.slice("sh", F.col("start") + 1, F.col("n")).alias("sh")).withColumn("sh", _numbered("sh"))
+    prints = runtime.written(cut.select("doc_id", "t", "n", "start", _simhash(F.col("sh"), F.size("sh"), lane).alias("print")), "windows")
+    own = items.select("item_id", "u", "n", _numbered("sh").alias("sh")).select("item_id", "u", "n", _simhash(F.col("sh"), F.col("n"), lane).alias("own"))
+    near = F.array(*[F.struct(F.lit(i).alias("i"), _block(F.col("own"), i).bitwiseXOR(F.lit(x)).alias("v")) for i in range(BLOCKS) for x in _flips()])
+    index = runtime.written(own.select("item_id", "u", "n", "own", F.explode(near).alias("b")).select("item_id", "u", "n", "own", "b.*"), "blocks")
     blocks = F.array(*[F.struct(F.lit(i).alias("i"), _block(F.col("print"), i).alias("v")) for i in range(BLOCKS)])
-    cut = windows.select("doc_id", "t", "n", "start", "print", F.explode(blocks).alias("b")).select("doc_id", "t", "n", "start", "print", "b.*")
-    found = cut.join(runtime.joined_side(prints), ["n", "i", "v"]).where(F.bit_count(F.col("print").bitwiseXOR(F.col("own"))) <= RADIUS)
-    seeded = enough.select(F.col("doc_id").alias("_d"), F.col("t").alias("_t"), F.col("n").alias("_n"), "item_id", "u", "at")
-    seeded = windows.select("doc_id", "t", "n", "start", F.size("sh").alias("m")).join(seeded, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("t") == F.col("_t")) & (F.col("n") == F.col("_n")))
-    inside = F.size(F.filter("at", lambda p: (p >= F.col("start")) & (p < F.col("start") + F.col("n"))))
-    seeded = seeded.where((100 + PERCENT) * inside >= PERCENT * (F.col("m") + F.col("n")))
-    found = found.select("doc_id", "t", "n", "start", "item_id", "u").unionByName(seeded.select("doc_id", "t", "n", "start", "item_id", "u")).distinct()
-    pairs = found.join(windows.select(F.col("doc_id").alias("_d"), F.col("t").alias("_t"), F.col("n").alias("_n"), F.col("start").alias("_s"), F.col("sh").alias("a")), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("t") == F.col("_t")) & (F.col("n") == F.col("_n")) & (F.col("start") == F.col("_s")))
+    rows = prints.select("doc_id", "t", "n", "start", "print", F.explode(blocks).alias("b")).select("doc_id", "t", "n", "start", "print", "b.*")
+    found = rows.join(runtime.joined_side(index), ["n", "i", "v"]).where(F.bit_count(F.col("print").bitwiseXOR(F.col("own"))) <= RADIUS)
+    return found.select("doc_id", "t", "n", "start", "item_id", "u").distinct()
+
+
+def _leaks(documents: DataFrame, items: DataFrame, width: int, longest: int) -> DataFrame:
+    """items: item_id, u (of its text), sh (all of this shingle width). The best window of each document and item, if similar enough."""
+    items = items.select("item_id", "u", "sh", F.size("sh").alias("n"))
+    held, windows = windows_of(documents, items, width)
+    found = candidates(windows, items, longest).groupBy("doc_id", "t").agg(F.collect_list(F.struct("n", "start", "item_id", "u")).alias("found"))
+    texts = held.select(F.col("doc_id").alias("_d"), F.col("t").alias("_t"), "sh")
+    pairs = found.join(texts, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("t") == F.col("_t"))).select("doc_id", "sh", F.explode("found").alias("f"))
+    pairs = pairs.select("doc_id", "f.*", F.slice("sh", F.col("f.start") + 1, F.col("f.n")).alias("a"))
     pairs = pairs.join(items.select(F.col("item_id").alias("_item"), F.col("u").alias("_u"), F.col("sh").alias("b")), F.col("item_id").eqNullSafe(F.col("_item")) & (F.col("u") == F.col("_u"))).withColumn("both", _both("a", "b"))
     all_ = F.size("a") + F.size("b") - F.col("both")
     pairs = pairs.withColumn("all", all_).where(100 * F.col("both") >= PERCENT * F.col("all"))
