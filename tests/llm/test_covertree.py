@@ -39,6 +39,41 @@ def test_pruning_saves_comparisons():
     assert covertree.search(best, covertree.Tree(np.arange(3000), x)) < 0.5 * 3000 * 3000
 
 
+def test_tree_holds_its_invariants():
+    rng = np.random.default_rng(2)
+    x = (rng.integers(-2000, 2000, (30, 6))[rng.integers(0, 30, 2500)] + rng.integers(-40, 40, (2500, 6))).astype(np.int64)
+    t = covertree.Tree(np.arange(2500), x)
+    assert sorted(t.ids.tolist()) == list(range(2500)) and max(map(len, t.children)) > 4
+    p, centres = t.points.astype(float), t.points[t.centre].astype(float)
+    for i, kids in enumerate(t.children):
+        own = p[t.first[i] : t.last[i]]
+        assert np.isclose(np.sqrt(((own - centres[i]) ** 2).sum(axis=1)).max(), t.radius[i]) and t.radius[i] <= 2.0 ** t.level[i]
+        if kids:
+            assert [(t.first[c], t.last[c]) for c in sorted(kids, key=lambda c: t.first[c])][0][0] == t.first[i] and sum(t.last[c] - t.first[c] for c in kids) == len(own)
+            assert all(t.radius[c] <= 2.0 ** (t.level[i] - 1) for c in kids)
+            apart = np.sqrt(((centres[kids][:, None] - centres[kids][None]) ** 2).sum(axis=2)) + 1e9 * np.eye(len(kids))
+            assert apart.min() > 2.0 ** (t.level[i] - 1) and 0 in np.sqrt(((centres[kids] - centres[i]) ** 2).sum(axis=1))
+
+
+def test_blocks_that_cannot_reach_are_not_joined(spark):
+    rng = np.random.default_rng(1)
+    x = (rng.integers(-2000, 2000, (40, 8))[rng.integers(0, 40, 4000)] + rng.integers(-5, 5, (4000, 8))).tolist()
+    df = spark.createDataFrame(list(enumerate(x)), "vec_id long, v array<long>")
+    queries = df.where("vec_id % 50 = 0")
+    met = []
+    inner = covertree._hits
+    try:
+        covertree._hits = lambda pairs, *a: met.append(pairs.count()) or inner(pairs, *a)
+        got = ours(covertree.top_k(queries, df, 5, 100))
+    finally:
+        covertree._hits = inner
+    leaves = covertree._leaves(df, covertree.SAMPLE_ROWS)
+    every = covertree.pairs_of_blocks(covertree._blocks(queries, leaves, 100), covertree._blocks(df, leaves, 100)).count()
+    assert got == brute([(i, v) for i, v in enumerate(x) if i % 50 == 0], list(enumerate(x)), 5)
+    print(met, every)
+    assert len(leaves[8]) > 20 and sum(met) < 0.2 * every
+
+
 def test_vectors_that_take_no_part(spark):
     rows = [(0, [1.0, 2.0]), (50, [None, 1.0]), (100, [float("nan"), 1.0]), (1, [0.5, -0.001]), (2, None), (3, [float("inf"), 0.0]), (150, [1e300, 1.0]), (None, [1.0, 1.0])]
     df = spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<float>, rank int")
