@@ -1,11 +1,11 @@
 """Exact removal of repeated byte strings by longest-previous-factor arrays.
 
 Every window of ``size`` bytes names the KGRAM-byte string of smallest hash in it as its anchor, so equal windows have
-equal anchors, in equal places. Anchors are counted by hash; those that recur are dealt out with the bytes of all their
-windows. Copies of the same surroundings are first reduced to two, however many there are. The surroundings of an anchor
-are laid end to end in tasks of bounded size and sorted into a suffix array, and its longest-previous-factor array, from
-the previous and next smaller positions in suffix order, tells which windows occur before (and, mirrored, after). Only
-where one anchor has more than SURROUNDINGS different surroundings, its windows are counted by hash, dealt out over all
+equal anchors, in equal places. Anchors are counted by hash. Copies of an anchor with the same bytes all around are one
+kind, and all windows of a kind that has copies recur. Where an anchor has several kinds, mostly at the ends of matches,
+their bytes are laid end to end in tasks of bounded size and sorted into a suffix array, and its longest-previous-factor
+array, from the previous and next smaller positions in suffix order, tells which windows occur before (and, mirrored,
+after). Only where one anchor has more than SURROUNDINGS kinds, their windows are counted by hash, dealt out over all
 tasks, so that no group has to fit one.
 """
 
@@ -172,39 +172,35 @@ def longest_previous(data: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarr
 
 
 def _settled(batches: Iterator[pa.RecordBatch], size: int, keep_first: bool) -> Iterator[pa.RecordBatch]:
-    """Of surroundings (h, c, n windows, bytes, copies), sorted by h and then by position: runs of their windows that recur.
-
-    Rows out: h, c, later, a, b; ``later`` tells the runs of later copies from those of the first.
-    """
+    """Of kinds (h, c, n windows, bytes), sorted by h and then by position: runs of their windows that recur, as h, c, a, b."""
 
     def flush(rows: list[tuple]) -> pa.RecordBatch:
-        laid = [(*r[:4], later) for r in rows for later in ((False, True) if r[4] > 1 else (False,))]
         # no text has the byte at both ends of a mark, so no match goes into one or comes out of it
-        marks = [b"\xff" + i.to_bytes(6, "big") + b"\xff" for i in range(len(laid))]
-        data = np.frombuffer(b"".join(r[3] + m for r, m in zip(laid, marks, strict=True)), np.uint8)
+        marks = [b"\xff" + i.to_bytes(6, "big") + b"\xff" for i in range(len(rows))]
+        data = np.frombuffer(b"".join(r[3] + m for r, m in zip(rows, marks, strict=True)), np.uint8)
         before, after = longest_previous(data, size)
         again = before >= size
         if not keep_first:
             again |= after >= size
         out, at = [], 0
-        for h, c, n, raw, later in laid:
+        for h, c, n, raw in rows:
             hit = np.concatenate([[False], again[at : at + n], [False]])
             edge = np.flatnonzero(hit[1:] != hit[:-1])
-            out += [(h, c, later, int(a), int(b)) for a, b in zip(edge[::2], edge[1::2], strict=True)]
+            out += [(h, c, int(a), int(b)) for a, b in zip(edge[::2], edge[1::2], strict=True)]
             at += len(raw) + 8
-        cols = list(zip(*out, strict=True)) or [()] * 5
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, (pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32()), strict=True)], ["h", "c", "later", "a", "b"])
+        cols = list(zip(*out, strict=True)) or [(), (), (), ()]
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], ["h", "c", "a", "b"])
 
     rows, group, held = [], [], 0  # whole groups, and the one that may go on
     for b in batches:
-        for row in zip(*(b.column(k).to_pylist() for k in ("h", "c", "n", "bytes", "copies")), strict=True):
+        for row in zip(*(b.column(k).to_pylist() for k in ("h", "c", "n", "bytes")), strict=True):
             if group and group[0][0] != row[0]:
                 rows, group = rows + group, []
                 if held >= CHUNK_BYTES:
                     yield flush(rows)
                     rows, held = [], 0
             group.append(row)
-            held += len(row[3]) * min(row[4], 2)
+            held += len(row[3])
     if rows or group:
         yield flush(rows + group)
 
@@ -230,10 +226,10 @@ def repeated_spans(documents: DataFrame, size: int = SIZE, keep_first: bool = Tr
     again = runtime.written(runtime.joined_unevenly(found, twice, ["h"], "total").drop("total"), "again")
     place = F.struct("doc_id", "t", "s")
     kinds = runtime.written(again.groupBy("h", "c").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "t", "s", "n", "at")).alias("first")), "kinds")
-    # the bytes of one of each kind of surroundings
-    many = runtime.written(kinds.groupBy("h").agg(F.count("*").alias("kinds")), "many")
-    reps = runtime.joined_unevenly(kinds, many, ["h"], "kinds").select("h", "c", "kinds", "copies", "first.*")
-    asked = reps.groupBy("doc_id", "t").agg(F.collect_list(F.struct("h", "c", "kinds", "copies", "s", "n", "at")).alias("asked"))
+    # the bytes of one of each kind, where an anchor has several
+    many = runtime.written(kinds.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1"), "many")
+    reps = runtime.joined_unevenly(kinds, many, ["h"], "kinds").select("h", "c", "kinds", "first.*")
+    asked = reps.groupBy("doc_id", "t").agg(F.collect_list(F.struct("h", "c", "kinds", "s", "n", "at")).alias("asked"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -241,27 +237,29 @@ def repeated_spans(documents: DataFrame, size: int = SIZE, keep_first: bool = Tr
                 raw = text.encode("utf-8", "surrogatepass")
                 yield pa.RecordBatch.from_pylist([{**x, "doc_id": doc, "t": t, "bytes": raw[x["s"] : x["s"] + x["n"] - 1 + size]} for x in want], cut_schema)
 
-    cut_schema = pa.schema([("h", pa.int64()), ("c", pa.int64()), ("kinds", pa.int64()), ("copies", pa.int64()), ("doc_id", pa.int64()), ("t", pa.int64()), ("s", pa.int32()), ("n", pa.int32()), ("at", pa.int32()), ("bytes", pa.binary())])
+    cut_schema = pa.schema([("h", pa.int64()), ("c", pa.int64()), ("kinds", pa.int64()), ("doc_id", pa.int64()), ("t", pa.int64()), ("s", pa.int32()), ("n", pa.int32()), ("at", pa.int32()), ("bytes", pa.binary())])
     keyed = asked.select(F.col("doc_id").alias("_d"), F.col("t").alias("_t"), "asked")
     same = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("t") == F.col("_t"))
     held = texts.dropDuplicates(["doc_id", "t"]).join(keyed, same).select("doc_id", "t", "text", "asked")
-    around = runtime.written(held.mapInArrow(cut, "h long, c long, kinds long, copies long, doc_id long, t long, s int, n int, at int, bytes binary"), "around")
+    around = runtime.written(held.mapInArrow(cut, "h long, c long, kinds long, doc_id long, t long, s int, n int, at int, bytes binary"), "around")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = around.where(F.col("kinds") <= SURROUNDINGS).repartition(parts, "h").sortWithinPartitions("h", "doc_id", "t", "s").select("h", "c", "n", "bytes", "copies")
-    runs = dealt.mapInArrow(lambda x: _settled(x, size, keep_first), "h long, c long, later boolean, a int, b int")
-    named = around.where(F.col("kinds") > SURROUNDINGS).select("h", "c", "n", "at", "bytes", "copies", "doc_id", "t", "s")
+    dealt = around.where(F.col("kinds") <= SURROUNDINGS).repartition(parts, "h").sortWithinPartitions("h", "doc_id", "t", "s").select("h", "c", "n", "bytes")
+    runs = dealt.mapInArrow(lambda x: _settled(x, size, keep_first), "h long, c long, a int, b int")
+    named = around.where(F.col("kinds") > SURROUNDINGS).select("h", "c", "n", "at", "bytes", "doc_id", "t", "s")
     windows = named.select("h", "c", "n", "at", "bytes").mapInArrow(lambda x: _window_names(x, size), "h long, c long, w int, k1 long, k2 long")
-    windows = windows.join(named.select("h", "c", "copies", place.alias("place")), ["h", "c"])
-    windows = runtime.written(windows.select("h", "c", "w", "k1", "k2", "place", F.explode(F.when(F.col("copies") > 1, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))).alias("later")), "windows")
-    counted = windows.groupBy("k1", "k2").agg(F.count("*").alias("m"), F.min(F.struct("place", "later")).alias("least")).where("m > 1")
+    windows = runtime.written(windows.join(named.select("h", "c", place.alias("place")), ["h", "c"]), "windows")
+    counted = windows.groupBy("k1", "k2").agg(F.count("*").alias("m"), F.min("place").alias("least")).where("m > 1")
     hot = runtime.joined_unevenly(windows, runtime.written(counted, "counted"), ["k1", "k2"], "m")
     if keep_first:
-        hot = hot.where(F.struct("place", "later") > F.col("least"))
-    runs = runs.unionByName(hot.select("h", "c", "later", F.col("w").alias("a"), (F.col("w") + 1).alias("b")))
-    runs = runs.groupBy("h", "c").agg(F.collect_list(F.struct("later", "a", "b")).alias("runs"))
-    runs = runtime.written(kinds.select("h", "c", "copies", F.struct("first.doc_id", "first.t", "first.s").alias("first")).join(runs, ["h", "c"]), "runs")
-    rows = runtime.joined_unevenly(again, runs, ["h", "c"], "copies").select("doc_id", "t", "s", (place > F.col("first")).alias("is_later"), F.explode("runs").alias("r"))
-    rows = rows.where(F.col("r.later") == (F.col("is_later") if keep_first else F.lit(False)))
+        hot = hot.where("place > least")
+    runs = runs.unionByName(hot.select("h", "c", F.col("w").alias("a"), (F.col("w") + 1).alias("b")))
+    runs = runs.groupBy("h", "c").agg(F.collect_list(F.struct("a", "b")).alias("runs"))
+    runs = kinds.select("h", "c", "copies", F.struct("first.doc_id", "first.t", "first.s").alias("first")).join(runs, ["h", "c"], "left")
+    runs = runtime.written(runs.where("copies > 1 OR runs IS NOT NULL"), "runs")
+    rows = runtime.joined_unevenly(again, runs, ["h", "c"], "copies")
+    copy = (F.col("copies") > 1) & ((place > F.col("first")) if keep_first else F.lit(True))
+    whole = F.array(F.struct(F.lit(0).alias("a"), F.col("n").alias("b")))
+    rows = rows.select("doc_id", "t", "s", F.explode(F.when(copy, whole).otherwise(F.col("runs"))).alias("r"))
     rows = rows.select("doc_id", "t", (F.col("s") + F.col("r.a")).alias("a"), (F.col("s") + F.col("r.b") - 1 + size).alias("b"))
     spans = rows.groupBy("doc_id", "t").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
     return texts, spans
