@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+import unicodedata
 from functools import reduce
 
 from pyspark.sql import Column
@@ -26,8 +28,25 @@ BINARY_EXTENSIONS = [
     ".ppt", ".pptx", ".exe", ".dll", ".so", ".dylib", ".a", ".o", ".obj", ".lib", ".wasm", ".class", ".pyc", ".pyo", ".ttf", ".otf",
     ".woff", ".woff2", ".eot", ".sqlite", ".db", ".sqlite3", ".bin", ".dat", ".iso", ".img", ".node", ".map",
 ]
-#: Accented letters and what they are without the accent. Others keep theirs (see fold_marks in functions.tokens).
-ACCENTED, PLAIN = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
+
+
+def _folds() -> tuple[str, str]:
+    """Letters that decompose into one letter and marks, then all marks; and the letters alone. For ``translate``, which deletes what has no counterpart."""
+    letters, plain, marks = [], [], []
+    for c in map(chr, range(0x80, sys.maxunicode + 1)):
+        if unicodedata.combining(c):
+            marks.append(c)
+        else:
+            base = [x for x in unicodedata.normalize("NFD", c) if not unicodedata.combining(x)]
+            if len(base) == 1 and base[0] != c:
+                letters.append(c)
+                plain.append(base[0])
+    return "".join(letters + marks), "".join(plain)
+
+
+#: Accents and how they go, in an index and in queries alike.
+ACCENTED, PLAIN = _folds()
+FOLDS = {ord(c): PLAIN[i] if i < len(PLAIN) else None for i, c in enumerate(ACCENTED)}
 
 
 def basename(path: Column) -> Column:
@@ -104,10 +123,15 @@ def preview(text: Column, lines: int = 8) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    """Lower-cased runs of letters and digits without accents, in order."""
+    """Lower-cased runs of letters and digits without accents, in order; marks after letters are accents, too."""
     folded = F.translate(F.lower(F.coalesce(text, F.lit(""))), ACCENTED, PLAIN)
     return F.regexp_extract_all(folded, F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
 def any_of(columns: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, columns)
+
+
+def let(value: Column, of) -> Column:
+    """``of(value)`` with ``value`` computed once a row, also where the optimizer would put it into each of its uses."""
+    return F.get(F.transform(F.array(value), of), F.lit(0))

@@ -27,13 +27,12 @@ def estimate(text: str) -> int:
 
 
 def best_split(lines: list[str], target: int, window: int) -> int:
-    """Where to end a window near ``target``: a blank line before, else one after, else the least indented line around."""
+    """The line that follows a window which ends near ``target``: the one after a blank line before, or else after, or else the least indented line around."""
     low, high = max(0, target - window), min(len(lines) - 1, target + window)
     for i in [*range(target, low - 1, -1), *range(target + 1, high + 1)]:
-        if i < len(lines) and not lines[i].strip():
-            return i
-    indents = [(len(lines[i]) - len(lines[i].lstrip()), i) for i in range(low, high + 1)]
-    return min(indents)[1] if indents else target
+        if not lines[i].strip():
+            return i + 1
+    return min((len(lines[i]) - len(lines[i].lstrip()), i) for i in range(low, high + 1))[1]
 
 
 def split_long_line(line: str, most: int, at: int, kind: str = "block", name: str | None = None) -> list[Chunk]:
@@ -59,9 +58,7 @@ def token_windows(content: str, most: int = MAX_TOKENS, overlap: float = OVERLAP
             used += cost[end]
             end += 1
         if end < len(lines):
-            cut = best_split(lines, end - 1, min(10, (end - start) // 5)) + 1
-            if start < cut <= end:
-                end = cut
+            end = max(best_split(lines, end - 1, min(10, (end - start) // 5)), start + 1)
         text = "\n".join(lines[start:end])
         if text.strip():
             out.append(Chunk(text, start + 1, end, "block"))

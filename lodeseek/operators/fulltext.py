@@ -2,22 +2,49 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import tokens
+from ..functions.text import let, tokens
 from .textquery import COLUMNS, Near, Phrase, compile_query, phrases
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
+#: Words of all queries of a batch that are broadcast.
+ASKED_ROWS = 200_000
 
 
-def postings(chunks: DataFrame) -> DataFrame:
-    """term, chunk_id, col, positions of chunks (id, content, name); one shuffle, summed up before it."""
-    each = [chunks.select(F.col("id").alias("chunk_id"), F.lit(c).alias("col"), F.posexplode(tokens(F.col(c))).alias("pos", "term")) for c in COLUMNS]
-    rows = each[0].unionByName(each[1])
-    return rows.groupBy("term", "chunk_id", "col").agg(F.array_sort(F.collect_list("pos")).alias("positions"))
+def _grouped(words: Column) -> Column:
+    """Of an array of words: an array of (term, positions), sorted; within the row."""
+
+    def runs(placed: Column) -> Column:
+        begins = F.filter(F.sequence(F.lit(0), F.size(placed) - 1), lambda i: (i == 0) | (F.get(placed, i)["term"] != F.get(placed, i - 1)["term"]))
+
+        def run(starts: Column) -> Column:
+            def one(a: Column, k: Column) -> Column:
+                own = F.slice(placed, a + 1, F.coalesce(F.get(starts, k + 1), F.size(placed)) - a)
+                return F.struct(F.get(placed, a)["term"].alias("term"), F.transform(own, lambda p: p["pos"]).alias("positions"))
+
+            return F.transform(starts, one)
+
+        return F.when(F.size(placed) > 0, let(begins, run))
+
+    return let(words, runs)
+
+
+def _placed(words: Column, terms: list[str] | None, prefixes: list[str]) -> Column:
+    placed = F.transform(words, lambda w, i: F.struct(w.alias("term"), i.alias("pos")))
+    if terms is not None:
+        placed = F.filter(placed, lambda p: reduce(lambda a, b: a | b, [p["term"].startswith(t) for t in prefixes], p["term"].isin(terms)))
+    return F.array_sort(placed)
+
+
+def postings(chunks: DataFrame, terms: list[str] | None = None, prefixes: Sequence[str] = ()) -> DataFrame:
+    """term, chunk_id, col, positions of chunks (id, content, name), of some terms and prefixes only if given; without a shuffle."""
+    each = [chunks.select(F.col("id").alias("chunk_id"), F.lit(c).alias("col"), F.explode(_grouped(_placed(tokens(F.col(c)), terms, list(prefixes)))).alias("p")) for c in COLUMNS]
+    return each[0].unionByName(each[1]).select("p.term", "chunk_id", "col", "p.positions")
 
 
 def lengths(chunks: DataFrame) -> DataFrame:
@@ -25,8 +52,11 @@ def lengths(chunks: DataFrame) -> DataFrame:
     return chunks.select(F.col("id").alias("chunk_id"), (F.size(tokens(F.col("content"))) + F.size(tokens(F.col("name")))).cast("long").alias("len"))
 
 
-def document_frequencies(index: DataFrame) -> DataFrame:
-    return index.groupBy("term").agg(F.count_distinct("chunk_id").alias("df"), F.sum(F.size("positions")).alias("tf"))
+def document_frequencies(chunks: DataFrame) -> DataFrame:
+    """term, df, tf: in how many chunks (id, content, name) a term is, and how often; a chunk's terms are counted within its row."""
+    words = F.concat(tokens(F.col("content")), tokens(F.col("name")))
+    rows = chunks.select(F.explode(_grouped(_placed(words, None, []))).alias("p")).select("p.term", F.size("p.positions").cast("long").alias("f"))
+    return rows.groupBy("term").agg(F.count("*").alias("df"), F.sum("f").alias("tf"))
 
 
 def _places(token: str, col: str) -> Column:
@@ -160,11 +190,15 @@ def bm25_batch(index: DataFrame, sizes: DataFrame, queries: DataFrame, limit: in
 
     asked = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
     need = asked.groupBy("query_id").agg(F.count("*").alias("need"))
+    few = asked.limit(ASKED_ROWS + 1).count() <= ASKED_ROWS
+    words = asked.select("term").distinct()
+    # only the asked terms' postings are shuffled
+    index = index.join(F.broadcast(words) if few else words, "term", "left_semi")
     tf = index.groupBy("term", "chunk_id").agg(F.sum(F.size("positions")).alias("f"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     corpus = sizes.agg(F.count("*").alias("total"), F.sum("len").alias("words"))
     terms = asked.join(df, "term").crossJoin(F.broadcast(corpus))
-    rows = terms.join(tf, "term").join(sizes, "chunk_id")
+    rows = (F.broadcast(terms) if few else terms).join(tf, "term").join(sizes, "chunk_id")
     norm = K1 * (1 - B + B * F.col("len") * F.col("total") / F.col("words"))
     part = F.col("times") * _idf(F.col("df"), F.col("total")) * F.col("f") * (K1 + 1) / (F.col("f") + norm)
     summed = rows.groupBy("query_id", "chunk_id").agg(F.count("*").alias("got"), (-F.sum(part)).alias("rank"))

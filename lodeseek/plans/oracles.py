@@ -102,6 +102,7 @@ SELECT path, action, count(*) AS n FROM (SELECT path, CASE WHEN status = 'delete
     "filter_cross_type": f"WITH {FILES} SELECT id, path AS file_path FROM files WHERE (path LIKE 'src1/%' OR path LIKE 'src2/%') AND (path LIKE '%.ts' OR path LIKE '%.py') AND split_part(path, '/', 3) <> 'doc_12.ts'",
     "filter_exclude": f"WITH {FILES} SELECT id, path AS file_path FROM files WHERE NOT (path LIKE 'src0/%' OR path LIKE '%.md' OR split_part(path, '/', 3) = 'doc_11.ts') AND (split_part(path, '/', 3) IN ('doc_7.ts', 'doc_9.go') OR ends_with(path, '/en/doc_8.ts'))",
     "tokenize_df": f"WITH {TOKENS} SELECT term, count(DISTINCT chunk_id) AS df, count(*) AS tf FROM tok GROUP BY 1",
+    "accent_folding": f"SELECT doc_id, md5(array_to_string({WORDS.format("text")}, ' ')) AS digest FROM documents",
     "corpus_stats": f"WITH {TOKENS} SELECT count(*) AS n, CAST(sum(len) AS BIGINT) AS words, round(CAST(sum(len) AS DOUBLE) / count(*), 6) AS avgdl FROM dl",
     "postings_positions": f"WITH {TOKENS} SELECT term, chunk_id, col, CAST(count(*) AS INTEGER) AS f, CAST(min(pos) AS INTEGER) AS first, CAST(max(pos) AS INTEGER) AS last FROM tok GROUP BY 1, 2, 3",
     "bm25_normalized": f"WITH {FILES},\n{_THBLE},\n{_hits(40)} SELECT chunk_id, round(score, 8) AS score FROM bm",

@@ -152,7 +152,14 @@ def filter_exclude(spark, sf):
 
 @query
 def tokenize_df(spark, sf):
-    return fulltext.document_frequencies(fulltext.postings(_chunks(spark, sf)))
+    return fulltext.document_frequencies(_chunks(spark, sf))
+
+
+@query
+def accent_folding(spark, sf):
+    """Tokens of texts whose letters have got marks, composed and decomposed."""
+    marked = F.regexp_replace(F.translate(F.col("text"), "aczo", "ăčżő"), "n", "n\u0301")
+    return read(spark, sf, "documents").select("doc_id", F.md5(F.array_join(tx.tokens(marked), " ")).alias("digest"))
 
 
 @query
@@ -168,8 +175,7 @@ def postings_positions(spark, sf):
 
 def _bm25(spark, sf, text, limit=30):
     s = TableStore(spark, sf)
-    hits = fulltext.search_bm25(s.table("postings"), s.table("lengths"), s.table("chunks"), s.table("files"), text, limit)
-    return hits.select("chunk_id", "file_path", F.round("rank", 8).alias("rank"))
+    return s.search_bm25(text, limit).select("chunk_id", "file_path", F.round("rank", 8).alias("rank"))
 
 
 for _name, (_text, _, _) in oracles.BM25.items():

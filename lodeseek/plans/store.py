@@ -1,4 +1,4 @@
-"""The store of an index: versioned Parquet snapshots of its tables and a pointer to the newest of each."""
+"""The store of an index: versioned Parquet snapshots of its tables and numbered pointers, of which the newest counts."""
 
 from __future__ import annotations
 
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..operators import fulltext, incremental, vector
 
-POINTER = "current.json"
+POINTER = "current-"
 #: Partitions of postings by a hash of the term, so that a query reads its terms' only.
 TERM_BUCKETS = 64
 
@@ -29,7 +29,7 @@ class UpdateReport:
 
 
 class Store:
-    """Tables at ``root``. A change writes new snapshots and then replaces the pointer, so readers see all of it or none."""
+    """Tables at ``root``. A change writes new snapshots and then adds a pointer, so readers see all of it or none."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -38,10 +38,18 @@ class Store:
         self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         self.state = self._read_pointer()
 
+    def _pointers(self) -> list[tuple[int, object]]:
+        """Numbers and paths of the pointers that are there, the newest last."""
+        found = self._fs.globStatus(self._path(f"{self.root}/{POINTER}*"))
+        paths = [x.getPath() for x in found or []]
+        return sorted(((int(p.getName().removeprefix(POINTER)), p) for p in paths), key=lambda x: x[0])
+
     def _read_pointer(self) -> dict:
-        p = self._path(f"{self.root}/{POINTER}")
-        if not self._fs.exists(p):
+        there = self._pointers()
+        if not there:
+            self.number = 0
             return {"tables": {}, "file_id": 0, "chunk_id": 0}
+        self.number, p = there[-1]
         stream = self._fs.open(p)
         try:
             return json.loads(bytes(stream.readAllBytes()).decode())
@@ -49,13 +57,14 @@ class Store:
             stream.close()
 
     def _write_pointer(self) -> None:
-        new, final = self._path(f"{self.root}/.{POINTER}.{uuid.uuid4().hex}"), self._path(f"{self.root}/{POINTER}")
+        """Adds a pointer of the next number; those before it stay until ``vacuum``, so there is one at any time."""
+        new, final = self._path(f"{self.root}/.{POINTER}{uuid.uuid4().hex}"), self._path(f"{self.root}/{POINTER}{self.number + 1:012d}")
         out = self._fs.create(new, True)
         out.write(json.dumps(self.state).encode())
         out.close()
-        if self._fs.exists(final):
-            self._fs.delete(final, False)
-        self._fs.rename(new, final)
+        if self._fs.exists(final) or not self._fs.rename(new, final):
+            raise RuntimeError(f"another writer has changed the store at {self.root}")
+        self.number += 1
 
     def table(self, name: str) -> DataFrame:
         path = self.state["tables"].get(name)
@@ -79,9 +88,13 @@ class Store:
 
     def vacuum(self) -> None:
         """Deletes snapshots that this store has replaced."""
-        for path in self.state.pop("old", []):
-            self._fs.delete(self._path(f"{self.root}/{path}"), True)
+        old = self.state.pop("old", [])
         self._write_pointer()
+        for path in old:
+            self._fs.delete(self._path(f"{self.root}/{path}"), True)
+        for number, path in self._pointers():
+            if number < self.number:
+                self._fs.delete(path, False)
 
     # repositories and files
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..functions.text import content_hash, language
 from ..operators import fulltext, vector
+from ..operators.textquery import compile_query, phrases
 
 EXTENSIONS = {"en": "ts", "fr": "py", "de": "go"}
 
@@ -53,8 +54,13 @@ class TableStore:
     def table(self, name: str) -> DataFrame:
         return self.tables[name]
 
+    def index_for(self, text: str) -> DataFrame:
+        """The postings of a query's words and prefixes."""
+        found = phrases(compile_query(text))
+        return fulltext.postings(self.table("chunks"), sorted({t for p in found for t in p.tokens}), sorted({p.tokens[-1] for p in found if p.prefix}))
+
     def search_bm25(self, text: str, limit: int = 20) -> DataFrame:
-        return fulltext.search_bm25(self.table("postings"), self.table("lengths"), self.table("chunks"), self.table("files"), text, limit)
+        return fulltext.search_bm25(self.index_for(text), self.table("lengths"), self.table("chunks"), self.table("files"), text, limit)
 
     def search_vector(self, query: Sequence[float], k: int = 20) -> DataFrame:
         return vector.hits_of(vector.search_vectors(self.table("vectors"), query, k), self.table("chunks"), self.table("files"))

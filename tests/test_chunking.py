@@ -67,6 +67,17 @@ def test_windows_cover_all_text_within_the_bound(lines, most):
     assert all(i in covered for i, line in enumerate(content.split("\n"), 1) if line.strip())
 
 
+def test_windows_end_before_the_least_indented_line_or_after_a_blank_one():
+    lines = [f"    x{i} = {i}" for i in range(20)]
+    lines[9] = "def f9():"
+    first = c.token_windows("\n".join(lines), 30, 0.0)[0]
+    assert first.end_line == 9 and c.token_windows("\n".join(lines), 30, 0.0)[1].content.startswith("def f9():")
+    lines[8] = ""
+    assert c.token_windows("\n".join(lines), 30, 0.0)[0].end_line == 9
+    assert c.best_split(["a", "b", "", "d"], 1, 1) == 3 and c.best_split(["a", "", "c", "d"], 2, 2) == 2
+    assert c.best_split(["  a", " b", "  c"], 2, 2) == 1 and c.best_split([" a", " b"], 1, 1) == 0
+
+
 def test_repeating_window_ends():
     content = "\n".join(["x"] * 8 + [""] + ["y" * 3559] * 2)
     assert len(c.token_windows(content)) < 20

@@ -67,3 +67,25 @@ def test_batch_equals_single_queries(spark, tables):
     for i, q in asked:
         single = {r["chunk_id"]: round(r["rank"], 9) for r in fulltext.bm25(*tables, q).collect()}
         assert {r["chunk_id"]: round(r["rank"], 9) for r in out if r["query_id"] == i} == single
+
+
+def test_words_with_marks_are_found_in_any_form(spark):
+    texts = ["a Tőzsde index", "x čas y", "Łódź żółw", "e\u0301te\u0301 here", "été there", "한국 text", "İstanbul", "Ångström"]
+    chunks = spark.createDataFrame([(i, t, None) for i, t in enumerate(texts)], "id long, content string, name string")
+    index, sizes = fulltext.postings(chunks), fulltext.lengths(chunks)
+
+    def hits(q):
+        found = fulltext.bm25(index, sizes, q)
+        return sorted(r["chunk_id"] for r in found.collect())
+
+    for q, want in [("Tőzsde", [0]), ("tozsde", [0]), ("čas", [1]), ("cas", [1]), ("c\u030cas", [1]), ("Łódź", [2]), ("zołw", [2]), ("été", [3, 4]), ("e\u0301te\u0301", [3, 4]), ("한국", [5]), ("istanbul", [6]), ("angstrom", [7])]:
+        assert hits(q) == want, q
+
+
+def test_postings_of_some_terms(spark):
+    chunks = spark.createDataFrame([(1, "b a b func_50", None), (2, "", "a"), (3, None, "x")], "id long, content string, name string")
+    every = {(r["term"], r["chunk_id"], r["col"]): r["positions"] for r in fulltext.postings(chunks).collect()}
+    assert every == {("b", 1, "content"): [0, 2], ("a", 1, "content"): [1], ("func", 1, "content"): [3], ("50", 1, "content"): [4], ("a", 2, "name"): [0], ("x", 3, "name"): [0]}
+    some = {(r["term"], r["chunk_id"]) for r in fulltext.postings(chunks, ["a"], ["fu"]).collect()}
+    assert some == {("a", 1), ("a", 2), ("func", 1)}
+    assert "Exchange" not in fulltext.postings(chunks)._jdf.queryExecution().executedPlan().toString()
