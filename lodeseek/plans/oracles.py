@@ -13,6 +13,27 @@ STATUSES = {"view": "modified", "signup": "added", "purchase": "renamed", "error
 LISTS = [("bm25", 0, "long"), ("bm25", 1, "turn"), ("vector", 0, "turn")]
 
 
+#: For each language: extension, a file in which @ is a number, and its declarations as (type, name, first and last line).
+SOURCES = [
+    (".ts", "export interface I@ {\n  x: number;\n}\n\nexport class C@ {\n  m(): string {\n    return '}';\n  }\n}\n\nexport function f@(a: number) {\n  return a;\n}\n", [("interface", "I@", 1, 3), ("class", "C@", 5, 9), ("function", "f@", 11, 13)]),
+    (".js", "class C@ {\n  m() { return 1 }\n}\n\nfunction f@(a) {\n  return a;\n}\n", [("class", "C@", 1, 3), ("function", "f@", 5, 7)]),
+    (".py", "def f@():\n    return 1\n\n\nclass C@:\n    def m(self):\n        pass\n", [("function", "f@", 1, 2), ("class", "C@", 5, 7)]),
+    (".go", "func F@(a int) int {\n\treturn a\n}\n\ntype T@ struct {\n\ta int\n}\n", [("function", "F@", 1, 3), ("type", "T@", 5, 7)]),
+    (".kt", "class K@(val x: Int) {\n  fun m() = 1\n}\n\nfun top@(): Int {\n  return 2\n}\n", [("class", "K@", 1, 3), ("function", "top@", 5, 7)]),
+    (".swift", "struct S@ {\n  let a: Int\n}\n\nprotocol P@ {\n}\n\nfunc go@() -> Int {\n  return 1\n}\n", [("struct", "S@", 1, 3), ("protocol", "P@", 5, 6), ("function", "go@", 8, 10)]),
+    (".dart", "class D@ {\n  int x = 1;\n}\n\nint add@(int a, int b) {\n  return a + b;\n}\n", [("class", "D@", 1, 3), ("function", "add@", 5, 7)]),
+]
+#: Names of the scanned files, by the key's remainder.
+SCANNED = ["src/{}.ts", "{}.py", "docs/deep/{}.md", ".hidden/{}.ts", "skip/{}.go", "{}.png", "empty_{}.rs", "nul_{}.c", "{}.xyz"]
+
+
+def scan_file(key: int, name: str) -> tuple[str, str]:
+    """Name and text of a file of the scan query."""
+    n = name.replace(" ", "_").lower()
+    kind = key % len(SCANNED)
+    return SCANNED[kind].format(n), "" if kind == 6 else f"{name}\x00\n" if kind == 7 else f"{name} é\n"
+
+
 def _in(values) -> str:
     return "(" + ", ".join(f"'{v}'" for v in values) + ")"
 
@@ -160,3 +181,34 @@ SQL |= {
     "get_chunk": f"WITH {FILES} SELECT id, path AS file_path, CAST(active AS INTEGER) AS active, CAST(0 AS INTEGER) AS seq, CAST(len(string_split(text, chr(10))) AS INTEGER) AS end_line FROM files JOIN documents ON doc_id = id",
     "long_line_split": "SELECT doc_id, CAST(k AS INTEGER) AS part, md5(substr(text, CAST(k AS BIGINT) * 3600 + 1, 3600)) AS digest, CAST(length(substr(text, CAST(k AS BIGINT) * 3600 + 1, 3600)) AS INTEGER) AS n FROM (SELECT doc_id, text, unnest(range(CAST(ceil(length(text) / 3600.0) AS BIGINT))) AS k FROM documents) WHERE trim(substr(text, CAST(k AS BIGINT) * 3600 + 1, 3600), ' ') <> ''",
 }
+
+_TALKS = """t AS (SELECT conv_id, turn, text, role, 'conv_' || conv_id || '.md' AS path, sha256(CAST(conv_id AS VARCHAR)) AS hash, CASE WHEN conv_id % 7 = 0 THEN 0 ELSE 1 END AS active FROM conversations),
+old AS (SELECT *, text AS now, conv_id % 3 = 0 AS touched FROM t),
+new AS (SELECT *, CASE WHEN touched AND turn % 4 = 2 THEN text || '!' ELSE text END AS c FROM old WHERE NOT touched OR turn % 5 <> 4),
+placed AS (SELECT *, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INTEGER) AS seq, row_number() OVER (PARTITION BY conv_id, c ORDER BY turn) AS occ FROM new),
+kept AS (SELECT p.*, NOT touched OR (occ = 1 AND EXISTS (SELECT 1 FROM old WHERE old.conv_id = p.conv_id AND old.text = p.c)) AS reused FROM placed p)"""
+_STORED = f"SELECT (SELECT count(DISTINCT path) FROM t) AS files, (SELECT count(*) FROM kept WHERE active = 1) AS live, (SELECT count(*) FROM kept WHERE active = 0) AS dead, (SELECT count(*) FROM kept WHERE active = 1 AND reused) AS live_v, (SELECT count(*) FROM kept WHERE active = 0 AND reused) AS dead_v"
+SQL |= {
+    "store_repository": "SELECT * FROM (VALUES ('main', '/conversations', 'c0ffee'), ('main', '/conversations', 'c0ffee')) v(id, path, last_commit)",
+    "store_files": f"WITH {_TALKS} SELECT DISTINCT path, hash, 'markdown' AS language, CAST(1 AS INTEGER) AS active FROM t WHERE active = 1",
+    "store_file_lookup": f"WITH {_TALKS} SELECT DISTINCT path, hash, CAST(active AS INTEGER) AS active FROM t WHERE conv_id = 1",
+    "store_chunks": f"WITH {_TALKS} SELECT path, seq, role AS name, md5(c) AS digest, reused FROM kept",
+    "store_file_chunks": f"WITH {_TALKS}, first AS (SELECT conv_id, c, min(turn) AS turn FROM (SELECT conv_id, text AS c, turn FROM old) GROUP BY 1, 2) SELECT seq, CAST(CASE WHEN reused THEN o.line ELSE seq + 1 END AS INTEGER) AS start_line, CAST(CASE WHEN reused THEN o.line ELSE seq + 1 END AS INTEGER) AS end_line, role AS name, md5(kept.c) AS digest FROM kept LEFT JOIN (SELECT f.conv_id, f.c, l.line FROM first f JOIN (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS line FROM old) l USING (conv_id, turn)) o ON o.conv_id = kept.conv_id AND o.c = kept.c WHERE kept.conv_id = 3",
+    "store_chunk": f"WITH {_TALKS} SELECT path AS file_path, 'main' AS repo_id, 'markdown' AS language, seq, md5(c) AS digest FROM kept WHERE conv_id = 3 AND seq = 0",
+    "store_vectors": f"WITH {_TALKS} SELECT path, seq, length(c) AS size, 'sizes' AS model FROM kept WHERE reused",
+    "store_unembedded": f"WITH {_TALKS} SELECT path AS file_path, md5(c) AS digest FROM kept WHERE NOT reused",
+    "store_stats": f"WITH {_TALKS}, s AS ({_STORED}) SELECT CAST(1 AS BIGINT) AS repositories, files, (SELECT count(DISTINCT path) FROM t WHERE active = 1) AS active_files, live + dead AS chunks, live_v + dead_v AS embedded, live + dead - live_v - dead_v AS pending FROM s",
+    "store_cleanup": f"WITH {_TALKS}, s AS ({_STORED}) SELECT CAST(dead AS INTEGER) AS deleted_chunks, CAST(dead_v AS INTEGER) AS deleted_vectors, files, live AS chunks, live_v AS embedded, live - live_v AS pending FROM s",
+    "store_clear": f"WITH {_TALKS}, s AS ({_STORED}) SELECT 'vectors' AS cleared, CAST(1 AS BIGINT) AS repositories, files, live + dead AS chunks, CAST(0 AS BIGINT) AS embedded FROM s UNION ALL SELECT 'all', 1, 0, 0, 0",
+    "store_search": f"""WITH {_TALKS}, w AS (SELECT path, seq, c, active, {WORDS.format("c")} AS a, {WORDS.format("role")} AS b FROM kept),
+d AS (SELECT path, c, active, len(a) + len(b) AS len, len(list_filter(a, lambda x: x = 'thble')) + len(list_filter(b, lambda x: x = 'thble')) AS f FROM w),
+st AS (SELECT CAST(sum(len) AS DOUBLE) / count(*) AS avgdl, CAST(count(*) AS DOUBLE) AS n, CAST(count(*) FILTER (f > 0) AS DOUBLE) AS df FROM d)
+SELECT DISTINCT path AS file_path, md5(c) AS digest, round(-(CASE WHEN ln((n - df + 0.5) / (df + 0.5)) > 0 THEN ln((n - df + 0.5) / (df + 0.5)) ELSE 1e-6 END) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len / avgdl)), 8) AS rank FROM d, st WHERE f > 0 AND active = 1""",
+    "store_search_prefix_near": f"""WITH {_TALKS}, w AS (SELECT path, c, {WORDS.format("c")} AS a FROM kept WHERE active = 1),
+k AS (SELECT path, c, unnest(a) AS x, generate_subscripts(a, 1) AS p FROM w)
+SELECT DISTINCT k.path AS file_path, md5(k.c) AS digest FROM k JOIN k j ON j.path = k.path AND j.c = k.c AND k.x = 'the' AND starts_with(j.x, 'th') AND abs(j.p - k.p) <= 2""",
+    "scan_directory": "WITH f AS (SELECT n_nationkey % 9 AS k, lower(replace(n_name, ' ', '_')) AS n, sha256(n_name || ' é' || chr(10)) AS hash FROM nation) SELECT CASE k WHEN 0 THEN 'src/' || n || '.ts' WHEN 1 THEN n || '.py' ELSE 'docs/deep/' || n || '.md' END AS path, CASE k WHEN 0 THEN 'typescript' WHEN 1 THEN 'python' ELSE 'markdown' END AS language, hash FROM f WHERE k < 3",
+    "syntax_languages": "WITH d AS (SELECT * FROM (VALUES "
+    + ", ".join(f"({k}, {i}, '{t}', '{n}', {a}, {b})" for k, (_, _, rows) in enumerate(SOURCES) for i, (t, n, a, b) in enumerate(rows))
+    + f") v(k, seq, chunk_type, name, a, b)) SELECT doc_id AS file_id, CAST(seq AS INTEGER) AS seq, chunk_type, replace(name, '@', CAST(doc_id AS VARCHAR)) AS name, CAST(a AS INTEGER) AS start_line, CAST(b AS INTEGER) AS end_line FROM documents JOIN d ON k = doc_id % {len(SOURCES)}",
+}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -13,6 +15,7 @@ from ..operators import chunking, embedding, fulltext, fusion, incremental, rera
 from ..sources import git, scan
 from . import oracles
 from .search import Searcher
+from .store import Store
 from .tables import TableEmbedder, TableStore, chunks_of, files_of, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -439,9 +442,164 @@ def get_chunk(spark, sf):
     return c.select("id", "file_path", "active", "seq", "end_line")
 
 
+# a store on disk
+
+
+def _scratch(spark, name):
+    """A new folder in the shared folder of the cluster; on this machine only if it is all there is."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return f"{shared.rstrip('/') if shared else 'file://' + tempfile.mkdtemp(prefix='lodeseek-')}/{name}-{uuid.uuid4().hex}"
+
+
+def _turn_chunks(rows):
+    place = F.row_number().over(Window.partitionBy("file_id").orderBy("turn")) - 1
+    c = rows.select("file_id", "turn", "text", "role").withColumn("seq", place.cast("int"))
+    return incremental.with_hash(c.select("file_id", "seq", (F.col("seq") + 1).alias("start_line"), (F.col("seq") + 1).alias("end_line"), F.lit("block").alias("chunk_type"), F.col("role").alias("name"), F.col("text").alias("content")))
+
+
+def _conversation_store(spark, sf):
+    """A store of all conversations, their turns as chunks, with vectors; then every third has changed and every seventh is gone."""
+    s = Store(spark, _scratch(spark, "store"), buckets=8)
+    s.upsert_repository("main", "/talks")
+    s.upsert_repository("main", "/conversations", "c0ffee")
+    turns = read(spark, sf, "conversations").withColumn("path", F.concat(F.lit("conv_"), F.col("conv_id").cast("string"), F.lit(".md")))
+    scanned = turns.select(F.lit("main").alias("repo_id"), "path", F.sha2(F.col("conv_id").cast("string"), 256).alias("hash"), F.lit("markdown").alias("language")).distinct()
+    s.upsert_files(scanned)
+    turns = turns.join(s.table("files").select(F.col("id").alias("file_id"), "path"), "path")
+    s.replace_chunks(s.table("files").select(F.col("id").alias("file_id")), _turn_chunks(turns))
+    vector = F.array(F.length("content"), F.col("seq") + 1).cast("array<float>")
+    s.insert_embeddings(s.table("chunks").select(F.col("id").alias("chunk_id"), vector.alias("embedding"), F.lit("sizes").alias("model"), F.lit(None).cast("timestamp").alias("embedded_at")))
+    high = s.state["chunk_id"]
+    later = turns.where("conv_id % 3 = 0 AND turn % 5 <> 4").withColumn("text", F.when(F.col("turn") % 4 == 2, F.concat("text", F.lit("!"))).otherwise(F.col("text")))
+    s.replace_chunks(turns.where("conv_id % 3 = 0").select("file_id").distinct(), _turn_chunks(later))
+    s.deactivate_files(turns.where("conv_id % 7 = 0").select(F.col("file_id").alias("id")).distinct())
+    return s, high
+
+
+def _with_path(store, rows):
+    return rows.join(store.table("files").select(F.col("id").alias("file_id"), "path"), "file_id")
+
+
+@query
+def store_repository(spark, sf):
+    s, _ = _conversation_store(spark, sf)
+    return s.repository("main").unionByName(s.repository_by_path("/conversations")).select("id", "path", "last_commit")
+
+
+@query
+def store_files(spark, sf):
+    return _conversation_store(spark, sf)[0].active_files("main").select("path", "hash", "language", "active")
+
+
+@query
+def store_file_lookup(spark, sf):
+    s, _ = _conversation_store(spark, sf)
+    return s.file("main", "conv_1.md").select("path", "hash", "active")
+
+
+@query
+def store_chunks(spark, sf):
+    s, high = _conversation_store(spark, sf)
+    return _with_path(s, s.table("chunks")).select("path", "seq", "name", F.md5("content").alias("digest"), (F.col("id") <= high).alias("reused"))
+
+
+@query
+def store_file_chunks(spark, sf):
+    """Chunks of one file, in order, with their file."""
+    s, _ = _conversation_store(spark, sf)
+    file_id = s.file("main", "conv_3.md").first()["id"]
+    return s.file_chunks(file_id).select("seq", "start_line", "end_line", "name", F.md5("content").alias("digest"))
+
+
+@query
+def store_chunk(spark, sf):
+    s, _ = _conversation_store(spark, sf)
+    file_id = s.file("main", "conv_3.md").first()["id"]
+    first = s.file_chunks(file_id).where("seq = 0").first()["id"]
+    return s.chunk(first).select("file_path", "repo_id", "language", "seq", F.md5("content").alias("digest"))
+
+
+@query
+def store_vectors(spark, sf):
+    s, _ = _conversation_store(spark, sf)
+    held = s.table("vectors").join(s.table("chunks").select(F.col("id").alias("chunk_id"), "file_id", "seq"), "chunk_id")
+    return _with_path(s, held).select("path", "seq", F.get("embedding", F.lit(0)).cast("long").alias("size"), "model")
+
+
+@query
+def store_unembedded(spark, sf):
+    return _conversation_store(spark, sf)[0].unembedded().select("file_path", F.md5("content").alias("digest"))
+
+
+@query
+def store_stats(spark, sf):
+    return _conversation_store(spark, sf)[0].stats()
+
+
+@query
+def store_search(spark, sf):
+    """All hits of a word in the store."""
+    s, _ = _conversation_store(spark, sf)
+    hits = s.search_bm25("thble", 1_000_000)
+    return hits.select("file_path", F.md5("content").alias("digest"), F.round("rank", 8).alias("rank")).distinct()
+
+
+@query
+def store_search_prefix_near(spark, sf):
+    """All hits of a prefix next to a word, in the store."""
+    s, _ = _conversation_store(spark, sf)
+    hits = s.search_bm25('NEAR("the" "th" * , 1)', 1_000_000)
+    return hits.select("file_path", F.md5("content").alias("digest")).distinct()
+
+
+@query
+def store_cleanup(spark, sf):
+    s, _ = _conversation_store(spark, sf)
+    chunks, vectors = s.cleanup()
+    left = s.stats()
+    return left.select(F.lit(chunks).alias("deleted_chunks"), F.lit(vectors).alias("deleted_vectors"), "files", "chunks", "embedded", "pending")
+
+
+@query
+def store_clear(spark, sf):
+    s, _ = _conversation_store(spark, sf)
+    s.clear_vectors()
+    first = s.stats()
+    rows = first.select(F.lit("vectors").alias("cleared"), "repositories", "files", "chunks", "embedded").collect()
+    s.clear_all()
+    return spark.createDataFrame(rows, "cleared string, repositories long, files long, chunks long, embedded long").unionByName(s.stats().select(F.lit("all").alias("cleared"), "repositories", "files", "chunks", "embedded"))
+
+
+@query
+def scan_directory(spark, sf):
+    """A scan of a folder of files named for nations, of which some are hidden, empty, binary, excluded or of no language."""
+    root = _scratch(spark, "scan")
+    jvm = spark.sparkContext._jvm
+    for r in read(spark, sf, "nation").collect():  # 25 rows
+        name, text = oracles.scan_file(r["n_nationkey"], r["n_name"])
+        path = jvm.org.apache.hadoop.fs.Path(f"{root}/{name}")
+        out = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(path, True)
+        out.write(bytearray(text.encode()))
+        out.close()
+    found = scan.scan(spark, root, "main", ["skip/**"])
+    return found.select("path", "language", "hash")
+
+
 # chunking and embedding
 
 
+@query
+def syntax_languages(spark, sf):
+    """Declarations of a small file in each language of a parser, for all documents."""
+    n = len(oracles.SOURCES)
+    rows = read(spark, sf, "documents").select(F.col("doc_id").alias("file_id"), (F.col("doc_id") % n).cast("int").alias("k"))
+    ext, code = (F.get(F.array(*[F.lit(x) for x in col]), F.col("k")) for col in zip(*[(e, c) for e, c, _ in oracles.SOURCES], strict=True))
+    rows = rows.select("file_id", F.concat(F.lit("f"), F.col("file_id").cast("string"), ext).alias("path"), F.replace(code, F.lit("@"), F.col("file_id").cast("string")).alias("content"))
+    return chunking.chunk_files(rows).select("file_id", "seq", "chunk_type", "name", "start_line", "end_line")
+
+
 @query
 def long_line_split(spark, sf):
     out = chunking.fixed_slices(read(spark, sf, "documents"), "doc_id", "text", 3600)

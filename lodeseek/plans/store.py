@@ -7,15 +7,16 @@ import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
 from ..operators import fulltext, incremental, vector
 
 POINTER = "current-"
-#: Partitions of postings by a hash of the term, so that a query reads its terms' only.
-TERM_BUCKETS = 64
+#: Buckets of a new store. Chunks, their vectors and postings are dealt to buckets by file, and a change writes those of its files alone.
+BUCKETS = 64
+BUCKETED = ("chunks", "vectors", "lengths", "postings")
 
 
 @dataclass
@@ -31,12 +32,13 @@ class UpdateReport:
 class Store:
     """Tables at ``root``. A change writes new snapshots and then adds a pointer, so readers see all of it or none."""
 
-    def __init__(self, spark: SparkSession, root: str):
+    def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS):
         self.spark, self.root = spark, root.rstrip("/")
         jvm = spark.sparkContext._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         self.state = self._read_pointer()
+        self.buckets = self.state.setdefault("buckets", buckets)
 
     def _pointers(self) -> list[tuple[int, object]]:
         """Numbers and paths of the pointers that are there, the newest last."""
@@ -62,29 +64,58 @@ class Store:
         out = self._fs.create(new, True)
         out.write(json.dumps(self.state).encode())
         out.close()
-        if self._fs.exists(final) or not self._fs.rename(new, final):
+        if [n for n, _ in self._pointers()][-1:] not in ([], [self.number]) or not self._fs.rename(new, final):
             raise RuntimeError(f"another writer has changed the store at {self.root}")
         self.number += 1
 
-    def table(self, name: str) -> DataFrame:
-        path = self.state["tables"].get(name)
-        return self.spark.read.parquet(f"{self.root}/{path}") if path else self.spark.createDataFrame([], schemas.TABLES[name])
-
-    def save(self, **tables: DataFrame) -> None:
-        """Writes new snapshots of the tables, then points to them all."""
-        written = {}
+    def table(self, name: str, buckets: list[int] | None = None) -> DataFrame:
+        """A table, or its rows in some buckets."""
+        there = self.state["tables"].get(name)
+        if name in BUCKETED:
+            there = [p for b, p in sorted((there or {}).items()) if buckets is None or int(b) in buckets]
+        else:
+            there = [there] if there else []
+        reader = self.spark.read.schema(schemas.TABLES[name])
+        return reader.parquet(*[f"{self.root}/{p}" for p in there]) if there else self.spark.createDataFrame([], schemas.TABLES[name])
+
+    def bucket(self, file_id: Column) -> Column:
+        return F.pmod(F.xxhash64(file_id.cast("long")), F.lit(self.buckets)).cast("int")
+
+    def buckets_of(self, file_ids: DataFrame) -> list[int]:
+        """Buckets that files (file_id) are in: at most as many as the store has."""
+        return sorted(r[0] for r in file_ids.select(self.bucket(F.col("file_id"))).distinct().collect())
+
+    def _in_buckets(self, df: DataFrame, chunks: DataFrame) -> DataFrame:
+        """Rows of chunks with their bucket; those of chunks that aren't there are in bucket 0."""
+        if "file_id" in df.columns:
+            return df.withColumn("bucket", self.bucket(F.col("file_id")))
+        of = chunks.select(F.col("id").alias("chunk_id"), self.bucket(F.col("file_id")).alias("bucket"))
+        return df.join(of, "chunk_id", "left").withColumn("bucket", F.coalesce("bucket", F.lit(0)))
+
+    def save(self, buckets: list[int] | None = None, **tables: DataFrame | str) -> None:
+        """Writes the tables, or of those in buckets (with a column ``bucket``, or the path where they are written) these buckets' rows, then points to them all."""
+        old, now = [], dict(self.state["tables"])
         for name, df in tables.items():
-            path = f"{name}/{uuid.uuid4().hex}"
-            if name == "postings":
-                df = df.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(TERM_BUCKETS)).cast("int"))
-                df.repartition("bucket", "term").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{self.root}/{path}")
-            else:
+            path = df if isinstance(df, str) else f"{name}/{uuid.uuid4().hex}"
+            if name not in BUCKETED:
                 df.write.parquet(f"{self.root}/{path}")
-            written[name] = path
-        old = [self.state["tables"][n] for n in written if n in self.state["tables"]]
-        self.state["tables"] |= written
-        self._write_pointer()
+                old += [now[name]] if name in now else []
+                now[name] = path
+                continue
+            if name == "postings":
+                df = df.repartition("bucket", F.pmod(F.xxhash64("term"), F.lit(4))).sortWithinPartitions("bucket", "term")
+            elif df is not path:
+                df = df.repartition("bucket")
+            if df is not path:
+                df.write.partitionBy("bucket").parquet(f"{self.root}/{path}")
+            before = now.get(name, {})
+            kept = {b: p for b, p in before.items() if buckets is not None and int(b) not in buckets}
+            old += [p for b, p in before.items() if b not in kept]
+            there = [x.getPath().getName().split("=")[1] for x in self._fs.globStatus(self._path(f"{self.root}/{path}/bucket=*")) or []]
+            now[name] = kept | {b: f"{path}/bucket={b}" for b in there}
+        self.state["tables"] = now
         self.state.setdefault("old", []).extend(old)
+        self._write_pointer()
 
     def vacuum(self) -> None:
         """Deletes snapshots that this store has replaced."""
@@ -141,18 +172,30 @@ class Store:
         files = self.table("files")
         if new.join(files.select(F.col("id").alias("file_id")), "file_id", "left_anti").limit(1).count():
             raise ValueError("chunks of a file that isn't in the store")
-        chunks, deleted = incremental.replace_chunks(self.table("chunks"), touched, new, self.state["chunk_id"], refresh)
+        buckets = self.buckets_of(touched)
+        chunks, deleted = incremental.replace_chunks(self.table("chunks", buckets), touched, new, self.state["chunk_id"], refresh)
         path = f"deleted/{uuid.uuid4().hex}"
         deleted.write.parquet(f"{self.root}/{path}")
-        gone = self.spark.read.parquet(f"{self.root}/{path}")
-        self.save(chunks=chunks, vectors=self.table("vectors").join(gone.select(F.col("id").alias("chunk_id")), "chunk_id", "left_anti").select(*schemas.VECTORS.fieldNames()))
-        self.state["chunk_id"] = max(self.state["chunk_id"], self.table("chunks").agg(F.max("id")).first()[0] or 0)
-        self.reindex()
+        gone = self.spark.read.schema(deleted.schema).parquet(f"{self.root}/{path}")
+        self._save_chunks(buckets, chunks, gone)
+        self.state["chunk_id"] = max(self.state["chunk_id"], self.table("chunks", buckets).agg(F.max("id")).first()[0] or 0)
+        self._write_pointer()
         return gone.count()
 
+    def _save_chunks(self, buckets: list[int], chunks: DataFrame, gone: DataFrame) -> None:
+        """Replaces the chunks of buckets, takes the vectors of ``gone`` (id) out of them and indexes them again."""
+        vectors = self.table("vectors", buckets).join(gone.select(F.col("id").alias("chunk_id")), "chunk_id", "left_anti").select(*schemas.VECTORS.fieldNames())
+        path = f"chunks/{uuid.uuid4().hex}"  # ids are given while this is written, so that the index is made of the same
+        self._in_buckets(chunks, chunks).repartition("bucket").write.partitionBy("bucket").parquet(f"{self.root}/{path}")
+        written = self.spark.read.schema(schemas.CHUNKS).parquet(f"{self.root}/{path}").select(*schemas.CHUNKS.fieldNames())
+        self.save(buckets, chunks=path, vectors=self._in_buckets(vectors, written), **self._index(written))
+
+    def _index(self, chunks: DataFrame) -> dict[str, DataFrame]:
+        return {"postings": self._in_buckets(fulltext.postings(chunks), chunks), "lengths": self._in_buckets(fulltext.lengths(chunks), chunks)}
+
     def reindex(self) -> None:
-        chunks = self.table("chunks")
-        self.save(postings=fulltext.postings(chunks), lengths=fulltext.lengths(chunks))
+        """Builds the index of all chunks anew."""
+        self.save(**self._index(self.table("chunks")))
 
     def file_chunks(self, file_id: int) -> DataFrame:
         return self.table("chunks").where(F.col("file_id") == file_id).orderBy("seq")
@@ -169,9 +212,9 @@ class Store:
         n = orphans.count()
         m = vectors.join(orphans.select(F.col("id").alias("chunk_id")), "chunk_id", "left_semi").count()
         if n:
-            ids = orphans.select(F.col("id").alias("chunk_id"))
-            self.save(chunks=chunks.join(orphans, "id", "left_anti").select(*schemas.CHUNKS.fieldNames()), vectors=vectors.join(ids, "chunk_id", "left_anti").select(*schemas.VECTORS.fieldNames()))
-            self.reindex()
+            buckets = self.buckets_of(files.where("active = 0").select(F.col("id").alias("file_id")))
+            mine = self.table("chunks", buckets)
+            self._save_chunks(buckets, mine.join(orphans, "id", "left_anti").select(*schemas.CHUNKS.fieldNames()), orphans)
         return n, m
 
     # vectors
@@ -181,14 +224,24 @@ class Store:
 
     def insert_embeddings(self, rows: DataFrame) -> None:
         """Adds or replaces vectors (chunk_id, embedding, model, embedded_at)."""
-        self.save(vectors=incremental.upsert_newest(self.table("vectors"), rows, ["chunk_id"]))
+        files = self.table("chunks").select(F.col("id").alias("chunk_id"), "file_id").join(rows.select("chunk_id"), "chunk_id", "left_semi")
+        known = rows.select("chunk_id").join(files, "chunk_id", "left_anti").limit(1).count() == 0
+        buckets = sorted({*self.buckets_of(files), *([] if known else [0])})
+        merged = incremental.upsert_newest(self.table("vectors", buckets), rows, ["chunk_id"])
+        self.save(buckets, vectors=self._in_buckets(merged, self.table("chunks", buckets)))
 
     def clear_all(self) -> None:
         """Empties all tables but the repositories; ids go on from where they were."""
-        self.save(**{n: self.spark.createDataFrame([], schemas.TABLES[n]) for n in ("files", "chunks", "vectors", "lengths", "postings")})
+        self._drop("files", *BUCKETED)
+
+    def _drop(self, *names: str) -> None:
+        for n in names:
+            there = self.state["tables"].pop(n, None) or []
+            self.state.setdefault("old", []).extend([there] if isinstance(there, str) else there.values() if there else [])
+        self._write_pointer()
 
     def clear_vectors(self) -> None:
-        self.save(vectors=self.spark.createDataFrame([], schemas.VECTORS))
+        self._drop("vectors")
 
     def stats(self) -> DataFrame:
         return incremental.statistics(*(self.table(t) for t in ("repositories", "files", "chunks", "vectors")))
@@ -196,19 +249,8 @@ class Store:
     # search
 
     def index_for(self, text: str) -> DataFrame:
-        """The postings of the buckets that a query's words are in; of all for prefixes."""
-        from ..operators.textquery import compile_query, phrases
-
-        found = phrases(compile_query(text))
-        index = self.table("postings")
-        if "bucket" not in index.columns:
-            return index
-        if not any(p.prefix for p in found):
-            terms = sorted({t for p in found for t in p.tokens})
-            if terms:
-                keys = self.spark.createDataFrame([(t,) for t in terms], "t string").select(F.pmod(F.xxhash64("t"), F.lit(TERM_BUCKETS)).cast("int")).distinct().collect()  # a row a word of the query
-                index = index.where(F.col("bucket").isin([k[0] for k in keys]))
-        return index.drop("bucket")
+        """The postings; sorted by term in each bucket, so that a query's words select row groups."""
+        return self.table("postings")
 
     def search_bm25(self, text: str, limit: int = 20) -> DataFrame:
         return fulltext.search_bm25(self.index_for(text), self.table("lengths"), self.table("chunks"), self.table("files"), text, limit)

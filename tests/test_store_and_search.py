@@ -76,6 +76,30 @@ def test_store_keeps_ids_and_vectors_of_unchanged_chunks(spark, store):
     assert store.stats().first()["files"] == 0 and store.table("repositories").count() == 1
 
 
+def test_a_change_writes_the_buckets_of_its_files_alone(spark, store):
+    store.upsert_files(scanned(spark, [(f"p{i}", str(i)) for i in range(40)]))
+    ids = [r["id"] for r in store.table("files").orderBy("id").collect()]
+    every = spark.createDataFrame([(i,) for i in ids], "file_id long")
+    rows = spark.createDataFrame([(i, k, k, k, "function", f"f{k}", f"word{i} text{k}") for i in ids for k in range(3)], CHUNKS)
+    store.replace_chunks(every, incremental.with_hash(rows))
+    store.insert_embeddings(store.table("chunks").select(F.col("id").alias("chunk_id"), F.array(F.lit(1.0), F.lit(2.0)).cast("array<float>").alias("embedding"), F.lit("m").alias("model"), F.lit(None).cast("timestamp").alias("embedded_at")))
+    before = {n: dict(store.state["tables"][n]) for n in ("chunks", "vectors", "postings", "lengths")}
+    assert len(before["chunks"]) > 15
+    store.replace_chunks(touched(spark, ids[7]), chunk_rows(spark, ids[7], ["changed words"]))
+    for n, was in before.items():
+        now = store.state["tables"][n]
+        assert sum(now.get(b) != p for b, p in was.items()) == 1 and set(now) <= set(was), n
+    assert store.table("chunks").count() == 118 and store.table("vectors").count() == 117
+    assert store.search_bm25("changed").count() == 1 and store.search_bm25(f"word{ids[7]}").count() == 0 and store.search_bm25(f"word{ids[8]}").count() == 3
+    again = Store(spark, store.root)
+    assert again.search_bm25("changed").count() == 1
+    store.vacuum()
+    assert again.number < store.number and Store(spark, store.root).table("chunks").count() == 118
+    with pytest.raises(RuntimeError):
+        again.clear_vectors()
+        again.clear_vectors()
+
+
 class Model:
     def __init__(self, fail=False):
         self.fail = fail
