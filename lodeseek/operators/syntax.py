@@ -133,7 +133,7 @@ _DECLARATIONS = {
     "go": [("function", r"func\s+(?:\([^)]*\)\s*)?(\w+)"), ("type", r"type\s+(\w+)"), ("block", r"(?:var|const)\s+(\w+|\()")],
     "kotlin": [("function", r"fun\s+(?:<[^>]*>\s*)?(?:\w+\.)?(\w+)"), ("interface", r"interface\s+(\w+)"), ("class", r"(?:enum\s+)?class\s+(\w+)"), ("block", r"(?:companion\s+)?object\s*(\w*)"), ("block", r"va[lr]\s+(\w+)")],
     "swift": [("function", r"(?:func\s+(\w+)|init\b)"), ("class", r"class\s+(\w+)"), ("struct", r"struct\s+(\w+)"), ("enum", r"enum\s+(\w+)"), ("protocol", r"protocol\s+(\w+)"), ("extension", r"extension\s+(\w+)"), ("block", r"(?:let|var)\s+(\w+)")],
-    "dart": [("class", r"(?:class|mixin)\s+(\w+)"), ("enum", r"enum\s+(\w+)"), ("extension", r"extension\s+(\w+)"), ("function", r"(?:[\w<>?,\[\]]+\s+)+(\w+)\s*\(")],
+    "dart": [("class", r"(?:class|mixin)\s+(\w+)"), ("enum", r"enum\s+(\w+)"), ("extension", r"extension\s+(\w+)"), ("function", r"(?:[\w<>?,\[\]]+\s+)+(\w+)\s*(?=\()")],
 }
 _IMPORT = re.compile(r"^(?:import\b|from\s+\S+\s+import\b|export\s+.*\bfrom\s+['\"])")
 _MASK = re.compile(r"//[^\n]*|/\*.*?(?:\*/|\Z)|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`", re.S)
