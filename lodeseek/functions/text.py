@@ -124,7 +124,8 @@ def preview(text: Column, lines: int = 8) -> Column:
 
 def tokens(text: Column) -> Column:
     """Lower-cased runs of letters and digits without accents, in order; marks after letters are accents, too."""
-    folded = F.translate(F.lower(F.coalesce(text, F.lit(""))), ACCENTED, PLAIN)
+    lower = F.lower(F.coalesce(text, F.lit("")))
+    folded = F.when(F.octet_length(lower) == F.length(lower), lower).otherwise(F.translate(lower, ACCENTED, PLAIN))
     return F.regexp_extract_all(folded, F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 

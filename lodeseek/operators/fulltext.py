@@ -38,7 +38,7 @@ def _placed(words: Column, terms: list[str] | None, prefixes: list[str]) -> Colu
     placed = F.transform(words, lambda w, i: F.struct(w.alias("term"), i.alias("pos")))
     if terms is not None:
         placed = F.filter(placed, lambda p: reduce(lambda a, b: a | b, [p["term"].startswith(t) for t in prefixes], p["term"].isin(terms)))
-    return F.array_sort(placed)
+    return F.sort_array(placed)
 
 
 def postings(chunks: DataFrame, terms: list[str] | None = None, prefixes: Sequence[str] = ()) -> DataFrame:

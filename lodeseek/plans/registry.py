@@ -16,7 +16,7 @@ from ..sources import git, scan
 from . import oracles
 from .search import Searcher
 from .store import Store
-from .tables import TableEmbedder, TableStore, chunks_of, files_of, read
+from .tables import TableEmbedder, TableStore, chunks_of, files_of, read, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL = oracles.SQL
@@ -32,7 +32,7 @@ def _files(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _chunks(spark: SparkSession, sf: str) -> DataFrame:
-    return chunks_of(read(spark, sf, "documents"))
+    return chunks_of(spread(read(spark, sf, "documents")))
 
 
 # sources

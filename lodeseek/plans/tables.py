@@ -22,6 +22,12 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in as many partitions as there are cores at least, for files that can't be split so far; large inputs stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def path_of():
     ext = F.when(F.col("lang") == "en", "ts").when(F.col("lang") == "fr", "py").when(F.col("lang") == "de", "go").otherwise("md")
     return F.concat("source", F.lit("/"), "lang", F.lit("/doc_"), F.col("doc_id").cast("string"), F.lit("."), ext)
@@ -48,7 +54,7 @@ class TableStore:
         self.spark = spark
         documents = read(spark, sf_dir, "documents")
         vectors = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding", F.lit("table").alias("model"), F.lit(None).cast("timestamp").alias("embedded_at"))
-        chunks = chunks_of(documents)
+        chunks = chunks_of(spread(documents))
         self.tables = {"repositories": spark.createDataFrame([("main", sf_dir, None, None, None)], schemas.REPOSITORIES), "files": files_of(documents), "chunks": chunks, "vectors": vectors, "postings": fulltext.postings(chunks), "lengths": fulltext.lengths(chunks)}
 
     def table(self, name: str) -> DataFrame:
