@@ -53,7 +53,7 @@ def two_fit_plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple
     """Bins as (lengths, number of such bins) for so many pieces of each length."""
     left = np.zeros(capacity + 1, np.int64)
     for length, n in counts.items():
-        if not 0 < length <= capacity:
+        if length is None or not 0 < length <= capacity:
             raise ValueError(f"a piece has {length} ids; a sequence holds 1 to {capacity}")
         left[length] = n
     scale, plan = np.arange(capacity + 1), []
@@ -118,31 +118,32 @@ def _slots(plan: list[tuple[list[int], int]]) -> list[tuple[int, ...]]:
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Adds sequence_id and offset to rows of pieces (doc_id, piece, length and more), which must be written already.
+    """Adds sequence_id and offset (in place of such columns) to rows of pieces (doc_id, piece, length and more), which must be written already.
 
     Every piece gets exactly one place; the plan sent to the driver and broadcast depends on ``capacity`` alone (at most
     ``capacity`` lengths), not on the number of documents. No rows in: no rows out. Ties in (doc_id, piece), as of
-    repeated rows, get places of their own. A length that is null or out of range is an error.
+    repeated rows and null doc_ids, get places of their own. A length that is null or out of range is a ValueError.
     """
     spark = pieces.sparkSession
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    slots = spark.createDataFrame(_slots(two_fit_plan(counts, capacity)), SLOTS)
+    own = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
+    names = ("_salt", "_n", "_before", "_row", "_rank", "_length", "_first", "_copies", "_times", "_sequence", "_place")
+    salt, n, first, row, rank, length, start, copies, times, sequence, place = runtime.fresh(pieces.columns, *names)
+    slots = spark.createDataFrame(_slots(two_fit_plan(counts, capacity)), SLOTS).toDF(length, start, copies, times, sequence, place)
     groups = max(1, -(-max(counts.values(), default=1) // GROUP_ROWS))
-    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)).cast("int"))
-    sizes = salted.groupBy("length", "_salt").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
-    first = sizes.select("length", "_salt", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
-    order = Window.partitionBy("length", "_salt").orderBy("doc_id", "piece")
-    ranked = salted.withColumn("_row", F.row_number().over(order) - 1)
-    ranked = ranked.join(runtime.joined_side(runtime.written(first, "groups")), ["length", "_salt"]).withColumn("_rank", F.col("_first") + F.col("_row"))
-    s = F.broadcast(slots.withColumnRenamed("length", "_length"))
-    q = F.col("_rank") - F.col("first")
-    placed = ranked.join(s, (F.col("length") == F.col("_length")) & (q >= 0) & (q < F.col("copies") * F.col("times")))
-    times = F.col("times")
+    salted = pieces.select(*own).withColumn(salt, F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)).cast("int"))
+    sizes = salted.groupBy("length", salt).agg(F.count("*").alias(n))
+    before = Window.partitionBy("length").orderBy(salt).rowsBetween(Window.unboundedPreceding, -1)
+    sums = sizes.select("length", salt, F.coalesce(F.sum(n).over(before), F.lit(0)).alias(first))
+    order = Window.partitionBy("length", salt).orderBy("doc_id", "piece")
+    ranked = salted.withColumn(row, F.row_number().over(order) - 1)
+    ranked = ranked.join(runtime.joined_side(runtime.written(sums, "groups")), ["length", salt]).withColumn(rank, F.col(first) + F.col(row))
+    q = F.col(rank) - F.col(start)
+    placed = ranked.join(F.broadcast(slots), (F.col("length") == F.col(length)) & (q >= 0) & (q < F.col(copies) * F.col(times)))
     return placed.select(
-        *pieces.columns,
-        (F.col("sequence") + F.floor(q / times)).cast("long").alias("sequence_id"),
-        (F.col("place") + (q % times) * F.col("length")).cast("long").alias("offset"),
+        *own,
+        (F.col(sequence) + F.floor(q / F.col(times))).cast("long").alias("sequence_id"),
+        (F.col(place) + (q % F.col(times)) * F.col("length")).cast("long").alias("offset"),
     )
 
 

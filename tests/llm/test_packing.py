@@ -8,6 +8,8 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
+from pyspark.sql import functions as F
+
 from lodeseek.llm import packing, runtime, token_files, tokens
 
 SF, PATH = "/root/testdata/sf0.001", public_tokenizers.path("word_bpe_49k.json")
@@ -101,3 +103,18 @@ def test_token_files(spark, docs, truth):
     assert kept == sum(b.column("n_tokens").to_numpy().sum() for b in first.documents()) and last[0]
     empty = runtime.scratch_path(spark, "none")
     assert token_files.read_token_files(token_files.write_token_files(df.limit(0), PATH, empty), empty).count() == 0
+
+
+def test_pieces_with_clashing_columns_null_ids_and_bad_lengths(spark):
+    rows = [(None, 0, 5, 1, "a"), (None, 0, 5, 2, "b"), (1, 0, 3, 3, "c"), (1, 0, 3, 3, "c"), (2, 0, 8, 4, "d")]
+    schema = "doc_id long, piece int, length long, first int, _rank string"
+    df = spark.createDataFrame(rows, schema).withColumns({c: F.lit(7) for c in ("_salt", "_n", "_row", "_before", "_first", "copies", "times", "sequence", "place", "_length", "offset")})
+    got = packing.pack(df, 8).collect()
+    assert len(got) == 5 and sorted(r["first"] for r in got) == [1, 2, 3, 3, 4] and all(r["times"] == 7 for r in got)
+    held = {}
+    for r in got:
+        held.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    assert sorted(sorted(x) for x in held.values()) == [[(0, 5), (5, 3)], [(0, 5), (5, 3)], [(0, 8)]]
+    for bad in (0, 9, None):
+        with pytest.raises(ValueError):
+            packing.pack(spark.createDataFrame([(1, 0, bad)], "doc_id long, piece int, length long"), 8)
