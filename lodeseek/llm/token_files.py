@@ -1,8 +1,8 @@
 """Token ids in Arrow files of fixed-size-list batches, for zero-copy random access.
 
-``ids-<k>.arrow`` is an Arrow file whose record batches hold ``ids`` (fixed-size list of ``sequence`` unsigned integers)
+``ids-<k>-<attempt>.arrow`` is an Arrow file whose record batches hold ``ids`` (fixed-size list of ``sequence`` unsigned integers)
 and ``mask`` (fixed-size list of booleans, false where the last sequence is padded). Documents follow each other in
-ascending doc_id, over files in the order of k. ``docs-<k>.arrow`` has each document's doc_id, start in its ids file and
+ascending doc_id, over files in the order of k. ``docs-<k>-<attempt>.arrow`` has each document's doc_id, start in its ids file and
 number of ids. Equal-length sequences make the place of any id a division, and a memory map reads it without a copy.
 """
 
@@ -28,15 +28,19 @@ def _schema(dtype: np.dtype, sequence: int) -> pa.Schema:
     return pa.schema([("ids", pa.list_(pa.from_numpy_dtype(dtype), sequence)), ("mask", pa.list_(pa.bool_(), sequence))])
 
 
+def _names(root: str, k: int, attempt: int) -> list[str]:
+    return [f"{root}/{kind}-{k:06d}-{attempt}.arrow" for kind in ("ids", "docs")]
+
+
 class Writer:
-    """One pair of files; ids and documents are added in order. Names are final only once both files are whole."""
+    """One pair of files, of one attempt of a task; ids and documents are added in order."""
 
     def __init__(self, folder: str, k: int, attempt: int, dtype: np.dtype, sequence: int = SEQUENCE):
         self.fs, root = fs.FileSystem.from_uri(folder)
         self.fs.create_dir(root, recursive=True)
-        self.names = [(f"{root}/.{kind}-{k:06d}-{attempt}", f"{root}/{kind}-{k:06d}.arrow") for kind in ("ids", "docs")]
+        self.names = _names(root, k, attempt)
         self.dtype, self.sequence, self.schema = dtype, sequence, _schema(dtype, sequence)
-        self.sinks = [self.fs.open_output_stream(a) for a, _ in self.names]
+        self.sinks = [self.fs.open_output_stream(a) for a in self.names]
         self.files = [pa.ipc.new_file(s, x) for s, x in zip(self.sinks, (self.schema, DOCS), strict=True)]
         self.rest, self.total = np.zeros(0, dtype), 0
 
@@ -60,16 +64,14 @@ class Writer:
         for file, sink in zip(self.files, self.sinks, strict=True):
             file.close()
             sink.close()
-        for a, b in self.names:
-            self.fs.move(a, b)
 
 
 class Reader:
     """Random access to one pair of files."""
 
-    def __init__(self, folder: str, k: int):
+    def __init__(self, folder: str, k: int, attempt: int):
         where, root = fs.FileSystem.from_uri(folder)
-        opened = [where.open_input_file(f"{root}/{kind}-{k:06d}.arrow") if not isinstance(where, fs.LocalFileSystem) else pa.memory_map(f"{root}/{kind}-{k:06d}.arrow") for kind in ("ids", "docs")]
+        opened = [pa.memory_map(x) if isinstance(where, fs.LocalFileSystem) else where.open_input_file(x) for x in _names(root, k, attempt)]
         self.ids, self.docs = (pa.ipc.open_file(x) for x in opened)
         self.sequence = self.ids.schema.field("ids").type.list_size
         self.step = 0 if not self.ids.num_record_batches else self.sequence * self.ids.get_batch(0).num_rows
@@ -95,10 +97,11 @@ class Reader:
 
 
 def write_token_files(documents: DataFrame, tokenizer: str, folder: str, end_id: int = END_ID, sequence: int = SEQUENCE, files: int | None = None) -> DataFrame:
-    """Writes documents (doc_id, text) to ``folder`` and returns a written table of the files: k, n_docs, n_tokens.
+    """Writes documents (doc_id, text) to ``folder`` and returns a written table of the files: k, attempt, n_docs, n_tokens.
 
-    A null or empty text is ``end_id`` alone; a null doc_id comes first. Equal doc_ids are all kept, in any order. A file
-    is rewritten whole and renamed when a task runs again, so a lost executor leaves no half file under a final name.
+    A null or empty text is ``end_id`` alone; a null doc_id comes first. Equal doc_ids are all kept, in any order. Each
+    attempt of a task writes files of its own and nothing is renamed; the table names those of the attempts that count,
+    so that a lost executor's half files, or a task that ran twice, are never read.
     No rows: no files.
     """
     spark = documents.sparkSession
@@ -114,23 +117,23 @@ def write_token_files(documents: DataFrame, tokenizer: str, folder: str, end_id:
             docs += len(ids)
         if writer:
             writer.close()
-            yield pa.RecordBatch.from_pydict({"k": pa.array([k], pa.int32()), "n_docs": [docs], "n_tokens": [writer.total]})
+            yield pa.RecordBatch.from_pydict({"k": pa.array([k], pa.int32()), "attempt": pa.array([attempt], pa.int64()), "n_docs": [docs], "n_tokens": [writer.total]})
 
     rows = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     dealt = rows.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id")
-    return runtime.written(dealt.mapInArrow(write, "k int, n_docs long, n_tokens long"), "files")
+    return runtime.written(dealt.mapInArrow(write, "k int, attempt long, n_docs long, n_tokens long"), "files")
 
 
 def read_token_files(files: DataFrame, folder: str) -> DataFrame:
     """From the files: doc_id, start among the ids of all files, n_tokens, ids_crc32 of the ids as 32-bit integers."""
     spark = files.sparkSession
     before = Window.orderBy("k").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
-    based = files.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0))).select("k", "base")
+    based = files.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0))).select("k", "attempt", "base")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k, base in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                reader = Reader(folder, k)
+            for k, attempt, base in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                reader = Reader(folder, k, attempt)
                 for docs in reader.documents():
                     crcs = []
                     for start, n in zip(docs["start"].to_pylist(), docs["n_tokens"].to_pylist(), strict=True):

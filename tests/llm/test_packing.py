@@ -95,7 +95,7 @@ def test_token_files(spark, docs, truth):
         ids = [*truth[r["doc_id"]], 2]
         assert (r["start"], r["n_tokens"], r["ids_crc32"]) == (at, len(ids), crc(ids))
         at += len(ids)
-    first = token_files.Reader(folder, min(r["k"] for r in files.collect()))
+    first = token_files.Reader(folder, *min((r["k"], r["attempt"]) for r in files.collect()))
     batch = first.ids.get_batch(0)
     assert batch.schema.field("ids").type.list_size == 2048 and batch.schema.field("mask").type.list_size == 2048
     last = first.ids.get_batch(first.ids.num_record_batches - 1).column("mask").flatten().to_numpy(zero_copy_only=False)
@@ -118,3 +118,15 @@ def test_pieces_with_clashing_columns_null_ids_and_bad_lengths(spark):
     for bad in (0, 9, None):
         with pytest.raises(ValueError):
             packing.pack(spark.createDataFrame([(1, 0, bad)], "doc_id long, piece int, length long"), 8)
+
+
+def test_files_of_other_attempts_are_not_read(spark, tmp_path):
+    df = spark.createDataFrame([(None, "none"), (1, "one two"), (1, "one two"), (2, "")], "doc_id long, text string")
+    folder = f"file://{tmp_path}/files"
+    files = token_files.write_token_files(df, PATH, folder, files=2)
+    want = sorted(map(tuple, token_files.read_token_files(files, folder).collect()), key=str)
+    assert len(want) == 4 and len(set(want)) == 4
+    r = files.first()
+    for a in token_files._names(f"{tmp_path}/files", r["k"], r["attempt"] + 1000):
+        open(a, "wb").write(b"half a file of an attempt that was lost")
+    assert sorted(map(tuple, token_files.read_token_files(files, folder).collect()), key=str) == want
