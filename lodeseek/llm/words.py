@@ -55,14 +55,15 @@ def hashed(text: str, size: int) -> int:
 def batches_of(batches: Iterator[pa.RecordBatch], most: int = BATCH_BYTES) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Batches of ``most`` characters (a single text may be longer), with column ``text`` as strings, null as empty."""
     for batch in batches:
-        texts = [t or "" for t in batch.column("text").to_pylist()]
+        sizes = pc.fill_null(pc.utf8_length(batch.column("text")), 0).to_pylist()
         at = 0
-        while at < len(texts):
+        while at < len(sizes):
             to, room = at, most
-            while to < len(texts) and (to == at or room >= len(texts[to])):
-                room -= len(texts[to])
+            while to < len(sizes) and (to == at or room >= sizes[to]):
+                room -= sizes[to]
                 to += 1
-            yield batch.slice(at, to - at), texts[at:to]
+            own = batch.slice(at, to - at)
+            yield own, [t or "" for t in own.column("text").to_pylist()]
             at = to
 
 
