@@ -46,6 +46,26 @@ def search_batch(vectors: DataFrame, queries: Sequence[tuple[int, Sequence[float
     return near.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
 
 
+def search_table(vectors: DataFrame, queries: DataFrame, k: int, folder: str) -> DataFrame:
+    """As ``search_batch`` for a table of queries (query_id, embedding) of any number, each id once.
+
+    The driver holds one block of about BATCH_QUERIES queries at a time; the results of a block are written below
+    ``folder``, which all executors share, before the next is read.
+    """
+    spark = queries.sparkSession
+    asked = queries.where("embedding IS NOT NULL AND query_id IS NOT NULL").select("query_id", "embedding")
+    blocks = -(-asked.count() // BATCH_QUERIES)
+    schema = "query_id long, chunk_id long, distance double, place int"
+    for n in range(blocks):
+        block = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == n).collect()
+        by_length: dict[int, list] = {}
+        for r in block:
+            by_length.setdefault(len(r["embedding"]), []).append((r["query_id"], r["embedding"]))
+        for length, own in by_length.items():
+            search_batch(vectors, own, k).write.parquet(f"{folder}/{n}/{length}")
+    return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(folder) if blocks else spark.createDataFrame([], schema)
+
+
 def _near(vectors: DataFrame, queries: Sequence[tuple[int, Sequence[float]]], k: int) -> DataFrame:
     """query_id, chunk_id, distance of each query's k nearest in each task."""
     ids = [int(i) for i, _ in queries]

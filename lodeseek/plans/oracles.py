@@ -108,7 +108,7 @@ SQL |= {
 e AS (SELECT doc_id, name, CASE WHEN regexp_matches(name, '^.+\\.') THEN lower('.' || list_last(string_split(name, '.'))) ELSE '' END AS ext FROM n)
 SELECT doc_id, ext IN {_in(BINARY_EXTENSIONS)} AS is_binary, (ext IN {_in(EXTENSION_LANGUAGES)} OR name IN {_in(FILENAME_LANGUAGES)} OR starts_with(name, 'Dockerfile.') OR ext = '') AS is_source,
   starts_with(name, '.') AS is_hidden, (ends_with(name, '.min.js') OR starts_with(name, 'c.') OR starts_with(name, 'd.')) AS is_excluded FROM e""",
-    "scan_size_and_content": "SELECT page_id, CAST(strlen(html) AS BIGINT) AS size, sha256(html) AS hash FROM pages WHERE strlen(html) BETWEEN 1 AND 3000",
+    "scan_size_and_content": "SELECT page_id, CAST(strlen(html) AS BIGINT) AS size, sha256(html) AS hash FROM pages WHERE strlen(html) BETWEEN 1 AND 1048576 AND NOT contains(html, chr(0))",
     "scan_total_size": "SELECT count(*) AS files, CAST(sum(strlen(html)) AS BIGINT) AS total_size FROM pages",
     "scan_dedupe_hash": f"WITH {FILES} SELECT hash, count(*) AS n, min(id) AS first_id FROM files GROUP BY 1 HAVING count(*) > 1",
     "repository_names": "SELECT page_id, list_last(string_split(rtrim(url, '/'), '/')) AS repo FROM pages",
@@ -128,15 +128,14 @@ SELECT path, action, count(*) AS n FROM (SELECT path, CASE WHEN status = 'delete
     "postings_positions": f"WITH {TOKENS} SELECT term, chunk_id, col, CAST(count(*) AS INTEGER) AS f, CAST(min(pos) AS INTEGER) AS first, CAST(max(pos) AS INTEGER) AS last FROM tok GROUP BY 1, 2, 3",
     "bm25_normalized": f"WITH {FILES},\n{_THBLE},\n{_hits(40)} SELECT chunk_id, round(score, 8) AS score FROM bm",
     "bm25_batch_queries": f"""WITH {TOKENS},
-w AS (SELECT item_id AS query_id, unnest(list_filter({WORDS.format("text")}, lambda x: length(x) > 3)) AS term, generate_subscripts(list_filter({WORDS.format("text")}, lambda x: length(x) > 3), 1) AS p FROM benchmark),
-a AS (SELECT query_id, term FROM (SELECT query_id, term, row_number() OVER (PARTITION BY query_id ORDER BY min(p)) AS r FROM w GROUP BY 1, 2) WHERE r <= 2),
+a AS (SELECT query_id, term, count(*) AS times FROM (SELECT item_id AS query_id, unnest({WORDS.format("text")}) AS term FROM benchmark) GROUP BY 1, 2),
 need AS (SELECT query_id, count(*) AS need FROM a GROUP BY 1),
 tf AS (SELECT chunk_id, term, count(*) AS f FROM tok WHERE term IN (SELECT term FROM a) GROUP BY 1, 2), df AS (SELECT term, count(*) AS n FROM tf GROUP BY 1),
-s AS (SELECT query_id, chunk_id, count(*) AS got, -sum(CASE WHEN ln((st.n - df.n + 0.5) / (df.n + 0.5)) > 0 THEN ln((st.n - df.n + 0.5) / (df.n + 0.5)) ELSE 1e-6 END * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len / st.avgdl))) AS rank FROM a JOIN tf USING (term) JOIN df USING (term) JOIN dl USING (chunk_id), st GROUP BY 1, 2),
+s AS (SELECT query_id, chunk_id, count(*) AS got, -sum(times * CASE WHEN ln((st.n - df.n + 0.5) / (df.n + 0.5)) > 0 THEN ln((st.n - df.n + 0.5) / (df.n + 0.5)) ELSE 1e-6 END * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len / st.avgdl))) AS rank FROM a JOIN tf USING (term) JOIN df USING (term) JOIN dl USING (chunk_id), st GROUP BY 1, 2),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank, chunk_id) AS k FROM s JOIN need USING (query_id) WHERE got = need)
 SELECT query_id, chunk_id, round(rank, 8) AS rank FROM r WHERE k <= 10""",
     "knn_topk": f"WITH {FILES},\n{_near(20)} SELECT chunk_id, round(distance, 6) AS distance, round(greatest(0, 1 - distance), 6) AS score FROM knn",
-    "knn_batch": """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings), q AS (SELECT vec_id AS query_id, e AS qe FROM v ORDER BY vec_id LIMIT 20),
+    "knn_batch": """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings), q AS (SELECT vec_id AS query_id, e AS qe FROM v WHERE vec_id % 50 = 0),
 r AS (SELECT query_id, vec_id AS chunk_id, 1 - list_cosine_similarity(e, qe) AS distance, row_number() OVER (PARTITION BY query_id ORDER BY 1 - list_cosine_similarity(e, qe), vec_id) AS place FROM v, q)
 SELECT query_id, chunk_id, CAST(place AS INTEGER) AS place, round(distance, 6) AS distance FROM r WHERE place <= 10""",
     "knn_active_after_k": f"WITH {FILES},\n{_near(30)} SELECT chunk_id, path AS file_path, round(distance, 6) AS distance FROM vh",

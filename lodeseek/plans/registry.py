@@ -53,25 +53,15 @@ def scan_accept(spark, sf):
     return rows.select("doc_id", tx.is_binary_name(p).alias("is_binary"), tx.is_source_name(p).alias("is_source"), scan.hidden(p).alias("is_hidden"), scan.excluded(p, oracles.GLOBS).alias("is_excluded"))
 
 
-def _sized(spark, sf, most):
+@query
+def scan_size_and_content(spark, sf):
+    """Pages of up to the scanner's size of files that hold no NUL."""
     pages = read(spark, sf, "pages").select("page_id", F.col("html").cast("binary").alias("content"))
     size = F.octet_length("content")
-    kept = pages.where(size.between(1, most)).where(~tx.has_nul(F.col("content")))
+    kept = pages.where(size.between(1, scan.MAX_FILE_SIZE)).where(~tx.has_nul(F.col("content")))
     return kept.select("page_id", size.cast("long").alias("size"), F.sha2("content", 256).alias("hash"))
 
 
-@query
-def scan_size_and_content(spark, sf):
-    """Pages of up to 3,000 bytes, so that the bound shows in small tables; the scanner's own is in scan_max_file_size."""
-    return _sized(spark, sf, 3000)
-
-
-@query
-def scan_max_file_size(spark, sf):
-    """Pages of up to the scanner's size of files."""
-    return _sized(spark, sf, scan.MAX_FILE_SIZE)
-
-
 @query
 def scan_total_size(spark, sf):
     return scan.total_size(read(spark, sf, "pages").select(F.octet_length("html").cast("long").alias("size")))
@@ -193,16 +183,6 @@ def bm25_normalized(spark, sf):
 
 @query
 def bm25_batch_queries(spark, sf):
-    """The first two words of over three letters of each benchmark item as its query; whole items are in bm25_batch_whole_items."""
-    words = F.filter(tx.tokens(F.col("text")), lambda w: F.length(w) > 3)
-    asked = read(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(F.array_distinct(words), 1, 2), " ").alias("text"))
-    c = _chunks(spark, sf)
-    out = fulltext.bm25_batch(fulltext.postings(c), fulltext.lengths(c), asked, 10)
-    return out.select("query_id", "chunk_id", F.round("rank", 8).alias("rank"))
-
-
-@query
-def bm25_batch_whole_items(spark, sf):
     """All words of each benchmark item as its query."""
     asked = read(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     c = _chunks(spark, sf)
@@ -225,17 +205,10 @@ def knn_topk(spark, sf):
 
 @query
 def knn_batch(spark, sf):
-    """The ten nearest of the first twenty vectors, a set of queries of fixed size; the one that grows is in knn_batch_every_50th."""
-    out = vector.search_batch(TableStore(spark, sf).table("vectors"), _query_vectors(spark, sf, 20), 10)
-    return out.select("query_id", "chunk_id", "place", F.round("distance", 6).alias("distance"))
-
-
-@query
-def knn_batch_every_50th(spark, sf):
     """The ten nearest, among all vectors, of every vector whose id is divisible by 50."""
-    s = TableStore(spark, sf)
-    asked = [(r["chunk_id"], r["embedding"]) for r in s.table("vectors").where("chunk_id % 50 = 0").select("chunk_id", "embedding").orderBy("chunk_id").collect()]
-    out = vector.search_batch(s.table("vectors"), asked, 10)
+    rows = TableStore(spark, sf).table("vectors")
+    asked = rows.where("chunk_id % 50 = 0").select(F.col("chunk_id").alias("query_id"), "embedding")
+    out = vector.search_table(rows, asked, 10, _scratch(spark, "knn"))
     return out.select("query_id", "chunk_id", "place", F.round("distance", 6).alias("distance"))
 
 

@@ -1,4 +1,4 @@
-"""Registered queries that do a whole job beside one whose SQL is bounded, on small tables of their own."""
+"""Registered queries by brute force, on small tables of their own."""
 
 import hashlib
 import math
@@ -28,7 +28,7 @@ def test_whole_benchmark_items_are_asked(spark, tmp_path):
                 rank -= times * max(idf, 1e-6) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len(have) / mean))
             if set(asked) <= set(have):
                 want[item, doc] = round(rank, 6)
-    got = {(r["query_id"], r["chunk_id"]): round(r["rank"], 6) for r in registry.QUERIES["bm25_batch_whole_items"](spark, str(tmp_path)).collect()}
+    got = {(r["query_id"], r["chunk_id"]): round(r["rank"], 6) for r in registry.QUERIES["bm25_batch_queries"](spark, str(tmp_path)).collect()}
     assert got == want and {k for k in got if k[0] == 1} == {(1, 1), (1, 4)}
 
 
@@ -36,7 +36,7 @@ def test_every_50th_vector_is_asked(spark, tmp_path):
     x = np.random.default_rng(1).normal(size=(1300, 8)).astype("float32")
     spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
     spark.createDataFrame([(1, "t", "en", "src1")], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = registry.QUERIES["knn_batch_every_50th"](spark, str(tmp_path)).collect()
+    got = registry.QUERIES["knn_batch"](spark, str(tmp_path)).collect()
     unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
     want = {(q, int(c), n + 1) for q in range(0, 1300, 50) for n, c in enumerate(np.argsort(1 - unit[q] @ unit.T, kind="stable")[:10])}
     assert len(want) == 260 and {(r["query_id"], r["chunk_id"], r["place"]) for r in got} == want and len(got) == 260
@@ -50,8 +50,19 @@ def test_more_queries_than_a_batch_holds(spark, monkeypatch):
     assert len(whole) == 69 and vector.search_batch(df, rows, 3).orderBy("query_id", "place").collect() == whole
 
 
+def test_queries_of_a_table_in_blocks(spark, monkeypatch, tmp_path):
+    rows = [(i, [math.cos(i / 9), math.sin(i / 9)]) for i in range(23)] + [(50, [0.0, 0.0]), (51, [1.0, 0.0, 0.0]), (52, None)]
+    df = spark.createDataFrame(rows, "chunk_id long, embedding array<double>")
+    asked = df.withColumnRenamed("chunk_id", "query_id")
+    whole = vector.search_table(df, asked, 3, f"{tmp_path}/one").orderBy("query_id", "place").collect()
+    assert {r["query_id"]: [x["chunk_id"] for x in whole if x["query_id"] == r["query_id"]][0] for r in whole if r["query_id"] < 23} == {i: i for i in range(23)}
+    monkeypatch.setattr(vector, "BATCH_QUERIES", 5)
+    assert vector.search_table(df, asked, 3, f"{tmp_path}/many").orderBy("query_id", "place").collect() == whole
+    assert vector.search_table(df, asked.limit(0), 3, f"{tmp_path}/none").collect() == []
+
+
 def test_pages_up_to_the_scanners_size(spark, tmp_path):
     pages = [None, "", "x", "é" * 2000, "a" * 1_048_576, "a" * 1_048_577, "é" * 524_289, "a\0b"]
     spark.createDataFrame(list(enumerate(pages)), "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
-    got = {r["page_id"]: (r["size"], r["hash"]) for r in registry.QUERIES["scan_max_file_size"](spark, str(tmp_path)).collect()}
+    got = {r["page_id"]: (r["size"], r["hash"]) for r in registry.QUERIES["scan_size_and_content"](spark, str(tmp_path)).collect()}
     assert got == {i: (len(b := pages[i].encode()), hashlib.sha256(b).hexdigest()) for i in (2, 3, 4)}
