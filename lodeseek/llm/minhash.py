@@ -24,7 +24,7 @@ BATCH_CHARACTERS = 2_000_000
 PERCENT = 75
 #: Equal coordinates that a pair must have before its sets are compared: five deviations under the mean at 0.75.
 LIKELY = 72
-#: Sets, and shingles in them, in one part of a group; larger groups are compared part by part.
+#: Sets, and shingles in them, of a home or a block of a group (on average, being dealt by hash); larger groups are compared cell by cell.
 PART_ROWS, PART_SHINGLES = 1000, 1_000_000
 _FULL = np.uint64((1 << 64) - 1)
 
@@ -101,18 +101,17 @@ def _linked(pairs: DataFrame, documents: DataFrame) -> DataFrame:
 
 
 def _unlinked(group: pa.Table) -> pa.Table:
-    """Links found among the classes of one group, or between its two parts: every pair of different components counts.
+    """Links found in one cell of a group: every class that asks with every class at home there, of different components.
 
     A pair is looked at in the first band that it shares only, and compared by sketch before it is by full sets.
     """
-    of = {c: group.column(c).to_pylist() for c in ("band", "class", "component", "part", "p", "q")}
-    n, band, cross = len(of["class"]), of["band"][0], of["p"][0] != of["q"][0]
+    of = {c: group.column(c).to_pylist() for c in ("band", "class", "component")}
+    home, asks, other = (np.array(group.column(c).to_pylist(), bool) for c in ("home", "asks", "other"))
+    band, name, component = of["band"][0], np.array(of["class"]), np.array(of["component"])
     sets = [x.values.to_numpy().view(np.uint64) for x in group.column("shingles")]
-    size, component, part = np.array([len(x) for x in sets]), np.array(of["component"]), np.array(of["part"])
+    size = np.array([len(x) for x in sets])
     sketch = sketches(sets)
-    kinds, count = np.unique(component, return_counts=True)
-    late = component == kinds[count.argmax()]  # pairs with the largest component are met from their other side
-    up = {c: c for c in kinds.tolist()}
+    up = {c: c for c in of["component"]}
 
     def top(c: int) -> int:
         while up[c] != c:
@@ -120,12 +119,11 @@ def _unlinked(group: pa.Table) -> pa.Table:
         return c
 
     links = []
-    for i in np.flatnonzero(~late).tolist():
-        other = (late | (np.arange(n) > i)) & (component != component[i])
-        other &= PERCENT * np.maximum(size, size[i]) <= 100 * np.minimum(size, size[i])
-        if cross:
-            other &= part != part[i]
-        js = np.flatnonzero(other)
+    for i in np.flatnonzero(asks).tolist():
+        # two classes that both ask meet once, in the cell where the smaller asks
+        met = home & (component != component[i]) & (~other | (name > name[i]))
+        met &= PERCENT * np.maximum(size, size[i]) <= 100 * np.minimum(size, size[i])
+        js = np.flatnonzero(met)
         same = sketch[js] == sketch[i]
         total = same.sum(axis=1)
         likely = total >= LIKELY
@@ -144,16 +142,30 @@ def _unlinked(group: pa.Table) -> pa.Table:
 
 
 def _rest(inside: DataFrame, classes: DataFrame, parts: DataFrame, documents: DataFrame) -> DataFrame:
-    """Links between classes that share a band but aren't in one component yet. A task holds two parts of a group at most."""
+    """Links between classes that share a band but aren't in one component yet.
+
+    Classes of a group's largest component never ask, so they are sent once for each block of the others: where nearly
+    all of a large group is linked already, nothing is copied but the few that aren't. Homes and blocks are bounded, and
+    a task holds one of each.
+    """
     of = inside.join(parts, F.col("class") == F.col("node"), "left").select("band", "key", "class", F.coalesce("component", "class").alias("component"))
-    of = of.join(classes.select("class", "n_shingles"), "class")
-    groups = of.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("n"), F.sum("n_shingles").alias("m")).where("least <> most")
-    groups = groups.select("key", F.ceil(F.greatest(F.col("n") / PART_ROWS, F.col("m") / PART_SHINGLES)).cast("int").alias("parts"))
-    open_ = runtime.written(of.join(groups, "key").withColumn("part", F.pmod(F.xxhash64("class"), F.col("parts")).cast("int")).drop("n_shingles"), "open")
+    of = runtime.written(of.join(classes.select("class", "n_shingles"), "class"), "placed")
+    kinds = of.groupBy("key", "component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("m"))
+    groups = kinds.groupBy("key").agg(F.count("*").alias("kinds"), F.sum("n").alias("n"), F.sum("m").alias("m"), F.max(F.struct("n", "component", "m")).alias("top")).where("kinds > 1")
+    bounded = lambda n, m: F.ceil(F.greatest(n / PART_ROWS, m / PART_SHINGLES)).cast("int")
+    rest = bounded(F.col("n") - F.col("top.n"), F.col("m") - F.col("top.m"))
+    groups = runtime.written(groups.select("key", "n", F.col("top.component").alias("top"), bounded(F.col("n"), F.col("m")).alias("homes"), rest.alias("blocks")), "open_groups")
+    open_ = runtime.joined_unevenly(of, groups, ["key"], "n")
+    home, block = (F.pmod(F.xxhash64("class", F.lit(k)), F.col(k)).cast("int").alias(k[:-1]) for k in ("homes", "blocks"))
+    open_ = runtime.written(open_.select("band", "key", "class", "component", (F.col("component") != F.col("top")).alias("other"), "homes", "blocks", home, block), "open")
     ids = runtime.written(open_.select(F.col("class").alias("doc_id")).distinct(), "ids")
     sets = full_sets(_texts(documents).join(runtime.joined_side(ids), "doc_id", "left_semi")).dropDuplicates(["doc_id"])
-    meets = F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.struct(F.least("part", o).alias("p"), F.greatest("part", o).alias("q"))))
-    rows = open_.join(sets, F.col("class") == F.col("doc_id")).select("band", "key", "class", "component", "part", "shingles", meets.alias("m")).select("*", "m.p", "m.q").drop("m")
+    at_home = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda q: F.struct(F.col("home").alias("p"), q.alias("q"), F.lit(True).alias("home"), (F.col("other") & (q == F.col("block"))).alias("asks")))
+    away = F.filter(F.sequence(F.lit(0), F.col("homes") - 1), lambda p: F.col("other") & (p != F.col("home")))
+    asking = F.transform(away, lambda p: F.struct(p.alias("p"), F.col("block").alias("q"), F.lit(False).alias("home"), F.lit(True).alias("asks")))
+    rows = open_.join(sets, F.col("class") == F.col("doc_id"))
+    rows = rows.select("band", "key", "class", "component", "other", "shingles", F.explode(F.concat(at_home, asking)).alias("cell"))
+    rows = rows.select("band", "key", "class", "component", "other", "shingles", "cell.*")
     return rows.groupBy("key", "p", "q").applyInArrow(_unlinked, "a long, b long")
 
 
@@ -162,7 +174,7 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
 
     Equal sets are one class, so copies never meet in pairs. In each group of a band, every class is checked against the
     group's smallest and largest class; then classes that share a band but are still in different components are
-    compared in their group, part by part where it is large, and only links leave it. Null and empty texts and those without words have no shingles and no links. Rows of one doc_id count
+    compared in their group, in cells of bounded size where it is large, and only links leave them. Null and empty texts and those without words have no shingles and no links. Rows of one doc_id count
     as one document; a null doc_id is kept only if no document with an id has its set. An empty table gives an empty table.
     """
     signed = runtime.written(signatures(documents), "signatures")
@@ -170,8 +182,8 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     classes = named.groupBy("s1", "s2", "n_shingles").agg(F.min(F.struct("doc_id", "bands")).alias("x"))
     classes = runtime.written(classes.select("s1", "s2", "n_shingles", F.col("x.doc_id").alias("class"), F.col("x.bands").alias("bands")), "classes")
     banded = classes.select(F.posexplode("bands").alias("band", "key"), "class")
-    groups = banded.groupBy("key").agg(F.min("class").alias("least"), F.max("class").alias("most")).where("least <> most")
-    inside = runtime.written(banded.join(groups, "key"), "groups")
+    groups = banded.groupBy("key").agg(F.min("class").alias("least"), F.max("class").alias("most"), F.count("*").alias("n")).where("least <> most")
+    inside = runtime.written(runtime.joined_unevenly(banded, runtime.written(groups, "bands"), ["key"], "n").drop("n"), "groups")
     stars = inside.select(F.explode(F.array(F.struct(F.col("least").alias("a"), F.col("class").alias("b")), F.struct(F.col("class").alias("a"), F.col("most").alias("b")))).alias("p")).select("p.a", "p.b").where("a <> b").distinct()
     stars = runtime.written(stars, "stars")
     links = runtime.written(_linked(stars, documents), "links")

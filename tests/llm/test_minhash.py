@@ -4,6 +4,7 @@ import re
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lodeseek.llm import minhash, shingles
@@ -46,7 +47,9 @@ def test_components_equal_brute_force_on_documents(spark):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in out.collect())
 
 
-def test_large_groups_of_near_copies_and_a_common_passage(spark):
+@pytest.mark.parametrize("rows_of_a_part", [minhash.PART_ROWS, 11])
+def test_large_groups_of_near_copies_and_a_common_passage(spark, monkeypatch, rows_of_a_part):
+    monkeypatch.setattr(minhash, "PART_ROWS", rows_of_a_part)
     rng = np.random.default_rng(3)
     word = lambda n: [f"w{x}" for x in rng.integers(0, 5000, n)]
     base, passage, rows = word(60), word(30), []
@@ -63,6 +66,27 @@ def test_large_groups_of_near_copies_and_a_common_passage(spark):
     assert ours(minhash.near_duplicates(df)) == brute(rows)
 
 
+def test_every_pair_of_different_components_meets_once(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "PART_ROWS", 5)
+    rng = np.random.default_rng(8)
+    shared = [f"s{x}" for x in rng.integers(0, 99999, 60)]
+    # sets that share bands by a common passage, in three components and many single ones
+    rows = [(i, " ".join(shared + [f"{i % 40 if i < 60 else i}x{k}" for k in range(30)])) for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    inside = spark.createDataFrame([(0, 7, i) for i in range(80)], "band int, key long, class long")
+    classes = spark.createDataFrame([(i, 86) for i in range(80)], "class long, n_shingles long")
+    parts = spark.createDataFrame([(i, 0 if i < 50 else 50) for i in range(70)], "node long, component long")
+    component = {i: 0 if i < 50 else 50 if i < 70 else i for i in range(80)}
+
+    def pairs(group):
+        at = group.select(["class", "component", "home", "asks", "other"]).to_pylist()
+        return pa.table({k: pa.array([x[j] for x in [(i["class"], h["class"]) for i in at if i["asks"] for h in at if h["home"] and h["component"] != i["component"] and (not h["other"] or h["class"] > i["class"])]], pa.int64()) for j, k in enumerate("ab")})
+
+    monkeypatch.setattr(minhash, "_unlinked", pairs)
+    met = [tuple(sorted((r["a"], r["b"]))) for r in minhash._rest(inside, classes, parts, docs).collect()]
+    assert sorted(met) == [(i, j) for i in range(80) for j in range(i + 1, 80) if component[i] != component[j]]
+
+
 def test_nulls_short_texts_ties_and_extra_columns(spark):
     rows = [(1, None), (2, ""), (3, " \t\n"), (4, "one two"), (5, "ONE\ttwo"), (6, "one two three"), (7, "É a b c d e"), (8, "é a b c d e"), (9, "a b c d e"), (9, "a b c d e"), (None, "a b c d e")]
     df = spark.createDataFrame([(d, t, 7, "x") for d, t in rows], "doc_id long, text string, component_id int, bands string")
