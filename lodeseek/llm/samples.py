@@ -12,6 +12,8 @@ from . import runtime
 
 #: Labelled rows of each class that a classifier is fitted on, at most.
 SAMPLE_ROWS = 3000
+#: Characters of all texts of a sample, at most; texts count whole or not at all.
+SAMPLE_CHARACTERS = 32_000_000
 
 
 def held_out(doc_id: str, folds: int, fold: int):
@@ -31,17 +33,25 @@ def sample(documents: DataFrame, labels: DataFrame, label: str, folds: int, fold
     return texts.join(F.broadcast(chosen), "doc_id")
 
 
-def fitted(rows: DataFrame, fit: Callable[[list[str], list[int]], bytes]) -> bytes:
-    """``fit(texts, labels)``, run on one executor; it runs again there if that executor is lost. Rows come in doc_id order."""
+def fitted(rows: DataFrame, fit: Callable[[list[str], list[int]], bytes], characters: int = SAMPLE_CHARACTERS) -> bytes:
+    """``fit(texts, labels)``, run on one executor; it runs again there if that executor is lost.
+
+    Rows come in doc_id order. Where their texts have more than ``characters``, rows are taken by a hash of doc_id, each
+    whole, and those that don't fit any more are left out of the fit.
+    """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts: list[str] = []
-        ys: list[int] = []
+        own: list[tuple[int, str, int]] = []
+        room = characters
         for b in batches:
-            texts += [t or "" for t in b.column("text").to_pylist()]
-            ys += b.column("y").to_pylist()
-        yield pa.RecordBatch.from_pydict({"model": pa.array([fit(texts, ys)], pa.binary())})
-
-    one = rows.select("doc_id", "text", "y").dropDuplicates(["doc_id"]).repartition(1).sortWithinPartitions("doc_id")
+            for doc, text, y in zip(*(b.column(k) for k in ("doc_id", "text", "y")), strict=True):
+                t = text.as_py() or ""
+                if len(t) <= room:
+                    room -= len(t)
+                    own.append((doc.as_py(), t, y.as_py()))
+        own.sort()
+        yield pa.RecordBatch.from_pydict({"model": pa.array([fit([t for _, t, _ in own], [y for _, _, y in own])], pa.binary())})
+
+    one = rows.select("doc_id", "text", "y").dropDuplicates(["doc_id"]).repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id")
     got = one.mapInArrow(task, "model binary").collect()
     return bytes(got[0]["model"]) if got else fit([], [])

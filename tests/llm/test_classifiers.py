@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lodeseek.llm import quality, samples, toxicity
 
@@ -82,3 +83,16 @@ def test_edges(spark, module):
         out = module.score(df, model).collect()
         assert len(out) == 6 and all(0 <= r["score"] <= 1 for r in out)
     assert module.score(df.limit(0), model).count() == 0
+
+
+def test_texts_of_a_sample_are_bounded_and_whole(spark):
+    rows = spark.createDataFrame([(i, "x" * 10 ** (i % 4), i % 2) for i in range(40)] + [(40, None, 1)], "doc_id long, text string, y int")
+
+    def fit(texts, ys):
+        return repr(([len(t) for t in texts], ys)).encode()
+
+    assert eval(samples.fitted(rows, fit)) == ([10 ** (i % 4) for i in range(40)] + [0], [i % 2 for i in range(40)] + [1])
+    sizes, ys = eval(samples.fitted(rows, fit, 1500))
+    assert len(sizes) == len(ys) and sum(sizes) <= 1500 and len(sizes) < 41 and set(sizes) <= {0, 1, 10, 100, 1000}
+    assert samples.fitted(rows, fit, 1500) == samples.fitted(rows.orderBy(F.desc("doc_id")), fit, 1500)
+    assert samples.fitted(rows.limit(0), fit) == b"([], [])"
