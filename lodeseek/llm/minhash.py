@@ -20,7 +20,7 @@ from . import graph, runtime, shingles, words
 
 T, ROWS, BANDS = 128, 4, 32
 #: Characters of text that a task hashes at a time.
-BATCH_CHARACTERS = 2_000_000
+BATCH_CHARACTERS = 500_000
 PERCENT = 75
 #: Equal coordinates that a pair must have before its sets are compared: five deviations under the mean at 0.75.
 LIKELY = 72

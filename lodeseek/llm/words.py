@@ -65,6 +65,7 @@ def batches_of(batches: Iterator[pa.RecordBatch], most: int = BATCH_BYTES) -> It
             own = batch.slice(at, to - at)
             yield own, [t or "" for t in own.column("text").to_pylist()]
             at = to
+        pa.default_memory_pool().release_unused()  # Python workers live on, also idle
 
 
 def summed(values: np.ndarray, group: np.ndarray, n: int) -> np.ndarray:
