@@ -36,6 +36,21 @@ def scanned(spark, rows):
     return spark.createDataFrame([("r", p, h, None) for p, h in rows], "repo_id string, path string, hash string, language string")
 
 
+def test_numbers_are_gapless_and_in_order_where_ranges_are_sampled(spark):
+    wide = F.concat(*[F.sha2(F.concat(F.col("k").cast("string"), F.lit(str(i))), 512) for i in range(3)])
+    rows = spark.range(0, 30000, 1, 8).select((F.col("id") * 7919 % 30011).alias("k")).select((F.col("k") % 97).cast("string").alias("path"), F.when(F.col("k") % 97 > 3, F.col("k")).alias("seq"), wide.alias("content"), F.col("k").alias("n"))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "50")
+    try:
+        got = incremental.numbered(rows, 500, ["path", "seq"]).select("id", "path", "seq", "n", "content").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert sorted(r["id"] for r in got) == list(range(501, 30501)) and len({r["n"] for r in got}) == 30000
+    by_id = [(r["path"], -1 if r["seq"] is None else r["seq"]) for r in sorted(got, key=lambda r: r["id"])]
+    assert by_id == sorted(by_id)
+    assert incremental.numbered(rows.limit(0), 500, ["path", "seq"]).collect() == []
+
+
 def test_store_keeps_ids_and_vectors_of_unchanged_chunks(spark, store):
     store.upsert_repository("r", "/r")
     store.upsert_repository("r", "/r2", "abcd")
