@@ -14,6 +14,8 @@ from .textquery import COLUMNS, Near, Phrase, compile_query, phrases
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 #: Words of all queries of a batch that are broadcast.
 ASKED_ROWS = 200_000
+#: Parts of a batch's ranks: below 1e13, rounded to less than what a double of a usual rank resolves.
+PART = "decimal(28,15)"
 
 
 def _grouped(words: Column) -> Column:
@@ -185,7 +187,10 @@ def bm25_score(rank: Column) -> Column:
 
 
 def bm25_batch(index: DataFrame, sizes: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
-    """query_id, chunk_id, rank of the best chunks that hold all tokens of each query (query_id, text); a join on terms."""
+    """query_id, chunk_id, rank of the best chunks that hold all tokens of each query (query_id, text); a join on terms.
+
+    Parts of a rank are added as decimals, so that their order doesn't matter and copies have the same rank, ties of which go by chunk_id.
+    """
     from pyspark.sql import Window
 
     asked = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
@@ -201,7 +206,7 @@ def bm25_batch(index: DataFrame, sizes: DataFrame, queries: DataFrame, limit: in
     rows = (F.broadcast(terms) if few else terms).join(tf, "term").join(sizes, "chunk_id")
     norm = K1 * (1 - B + B * F.col("len") * F.col("total") / F.col("words"))
     part = F.col("times") * _idf(F.col("df"), F.col("total")) * F.col("f") * (K1 + 1) / (F.col("f") + norm)
-    summed = rows.groupBy("query_id", "chunk_id").agg(F.count("*").alias("got"), (-F.sum(part)).alias("rank"))
+    summed = rows.groupBy("query_id", "chunk_id").agg(F.count("*").alias("got"), (-F.sum(part.cast(PART))).cast("double").alias("rank"))
     full = summed.join(need, "query_id").where("got = need")
     w = Window.partitionBy("query_id").orderBy("rank", "chunk_id")
     return full.withColumn("n", F.row_number().over(w)).where(F.col("n") <= limit).select("query_id", "chunk_id", "rank")

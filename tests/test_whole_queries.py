@@ -7,7 +7,7 @@ from collections import Counter
 
 import numpy as np
 
-from lodeseek.operators import vector
+from lodeseek.operators import fulltext, vector
 from lodeseek.plans import registry
 
 
@@ -32,6 +32,20 @@ def test_whole_benchmark_items_are_asked(spark, tmp_path):
     assert got == want and {k for k in got if k[0] == 1} == {(1, 1), (1, 4)}
 
 
+def test_copies_have_one_rank_whatever_the_order_of_its_parts(spark):
+    words = [f"w{i}" for i in range(40)]
+    times = {w: 1 + i % 7 for i, w in enumerate(words)}
+    order = np.random.default_rng(3)
+    rows = [(w, c, "content", list(range(times[w]))) for c in range(60) for w in order.permutation(words).tolist()]
+    rows += [(w, 100 + i, "content", [0]) for i, w in enumerate(words)] + [("other", 200 + i, "content", [0]) for i in range(400)]
+    index = spark.createDataFrame(rows, "term string, chunk_id long, col string, positions array<int>").coalesce(1)
+    sizes = spark.createDataFrame([(c, 160 if c < 60 else 1) for c in sorted({r[1] for r in rows})], "chunk_id long, len long")
+    asked = spark.createDataFrame([(1, " ".join(words))], "query_id long, text string")
+    got = fulltext.bm25_batch(index, sizes, asked, 100).collect()
+    assert len(got) == 60 and len({r["rank"] for r in got}) == 1
+    assert sorted(r["chunk_id"] for r in fulltext.bm25_batch(index, sizes, asked, 7).collect()) == list(range(7))
+
+
 def test_every_50th_vector_is_asked(spark, tmp_path):
     x = np.random.default_rng(1).normal(size=(1300, 8)).astype("float32")
     spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
