@@ -6,6 +6,7 @@ import subprocess
 import pytest
 from pyspark.sql import functions as F
 
+from lodeseek import schemas
 from lodeseek.operators import incremental
 from lodeseek.operators.embedding import HashEmbedder
 from lodeseek.plans import cli, ingest, tools
@@ -51,6 +52,19 @@ def test_numbers_are_gapless_and_in_order_where_ranges_are_sampled(spark):
     assert incremental.numbered(rows.limit(0), 500, ["path", "seq"]).collect() == []
 
 
+def test_many_new_files_are_all_kept(spark):
+    path = F.concat(F.sha2(F.col("id").cast("string"), 512), F.lit(".md"))
+    seen = spark.range(0, 40000, 1, 4).select(F.lit("r").alias("repo_id"), path.alias("path"), F.sha2(F.concat(F.lit("h"), F.col("id").cast("string")), 512).alias("hash"), F.lit("markdown").alias("language"))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "50")
+    try:
+        files, _ = incremental.upsert_files(spark.createDataFrame([], schemas.FILES), seen, 7)
+        got = files.collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len({r["path"] for r in got}) == 40000 and sorted(r["id"] for r in got) == list(range(8, 40008))
+
+
 def test_store_keeps_ids_and_vectors_of_unchanged_chunks(spark, store):
     store.upsert_repository("r", "/r")
     store.upsert_repository("r", "/r2", "abcd")
