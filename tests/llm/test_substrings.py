@@ -75,3 +75,25 @@ def test_null_ids_and_repeated_rows(spark):
     df = spark.createDataFrame([(None, text), (1, text), (1, text), (2, "z" + text), (None, "other"), (3, None)], "doc_id long, text string")
     removed = sorted((r["doc_id"] or 0, r["n_bytes"], r["n_removed"]) for r in substrings.remove_repeats(df, 40, True).collect())
     assert removed == [(0, 5, 0), (0, 90, 0), (1, 90, 90), (1, 90, 90), (2, 91, 90), (3, 0, 0)]
+
+
+def test_passages_of_over_50_words_go_from_400_bytes_on(spark, tmp_path):
+    # n_bytes is what a text had, n_removed what was caught of it
+    rng = np.random.default_rng(11)
+    text = lambda n, letters="abcdefgh": " ".join("".join(rng.choice(list(letters), 6)) for _ in range(n))
+    passages = {"short": text(57), "edge": text(57) + "x", "whole": text(57) + "xy", "long": text(90), "accents": text(57, "äbéöñçüd")}
+    rows, planted = [], {}
+    for kind, passage in passages.items():
+        for side in "[]":
+            planted[len(rows)] = kind
+            rows.append((len(rows), f"{text(40)} {side}{passage}{side} {text(40)}"))
+    rows += [(len(rows) + i, text(n)) for i, n in enumerate((0, 1, 60, 400))]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    got = substrings.op5_longest_previous_factor(spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == brute(rows, 400, False)
+    size = {k: len(v.encode()) for k, v in passages.items()}
+    assert [*size.values()][:3] == [398, 399, 400] and all(len(v.split()) > 50 for v in passages.values())
+    for r in got:
+        assert r["n_bytes"] == len(rows[r["doc_id"]][1].encode())
+        n = size.get(planted.get(r["doc_id"]), 0)
+        assert r["n_removed"] == (n if n >= 400 else 0)
