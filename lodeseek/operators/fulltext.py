@@ -172,13 +172,15 @@ def with_chunks(hits: DataFrame, chunks: DataFrame, files: DataFrame, active: bo
     return hits.join(c, "chunk_id").join(f.select(F.col("id").alias("file_id"), F.col("path").alias("file_path")), "file_id")
 
 
-def search_bm25(index: DataFrame, sizes: DataFrame, chunks: DataFrame, files: DataFrame, text: str, limit: int = 20) -> DataFrame:
-    """The best ``limit`` chunks of active files by rank, ties by chunk_id, with score |r| / (1 + |r|)."""
+def search_bm25(index: DataFrame, sizes: DataFrame, chunks: DataFrame, files: DataFrame, text: str, limit: int | None = 20) -> DataFrame:
+    """The best ``limit`` chunks of active files by rank, ties by chunk_id, or all with None, with score |r| / (1 + |r|)."""
     ranked = bm25(index, sizes, text)
     if ranked is None:
         ranked = sizes.limit(0).select("chunk_id", F.lit(0.0).alias("rank"))
     live = ranked.join(chunks.select(F.col("id").alias("chunk_id"), "file_id"), "chunk_id").join(files.where("active = 1").select(F.col("id").alias("file_id")), "file_id", "left_semi")
-    top = live.select("chunk_id", "rank").orderBy("rank", "chunk_id").limit(limit)
+    top = live.select("chunk_id", "rank")
+    if limit is not None:
+        top = top.orderBy("rank", "chunk_id").limit(limit)
     return with_chunks(top, chunks, files).select(*HIT, "rank", bm25_score(F.col("rank")).alias("score"))
 
 

@@ -515,7 +515,7 @@ def store_stats(spark, sf):
 def store_search(spark, sf):
     """All hits of a word in the store."""
     s, _ = _conversation_store(spark, sf)
-    hits = s.search_bm25("thble", 1_000_000)
+    hits = s.search_bm25("thble", None)
     return hits.select("file_path", F.md5("content").alias("digest"), F.round("rank", 8).alias("rank")).distinct()
 
 

@@ -252,7 +252,7 @@ class Store:
         """The postings; sorted by term in each bucket, so that a query's words select row groups."""
         return self.table("postings")
 
-    def search_bm25(self, text: str, limit: int = 20) -> DataFrame:
+    def search_bm25(self, text: str, limit: int | None = 20) -> DataFrame:
         return fulltext.search_bm25(self.index_for(text), self.table("lengths"), self.table("chunks"), self.table("files"), text, limit)
 
     def search_vector(self, query: Sequence[float], k: int = 20) -> DataFrame:

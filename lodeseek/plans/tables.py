@@ -65,7 +65,7 @@ class TableStore:
         found = phrases(compile_query(text))
         return fulltext.postings(self.table("chunks"), sorted({t for p in found for t in p.tokens}), sorted({p.tokens[-1] for p in found if p.prefix}))
 
-    def search_bm25(self, text: str, limit: int = 20) -> DataFrame:
+    def search_bm25(self, text: str, limit: int | None = 20) -> DataFrame:
         return fulltext.search_bm25(self.index_for(text), self.table("lengths"), self.table("chunks"), self.table("files"), text, limit)
 
     def search_vector(self, query: Sequence[float], k: int = 20) -> DataFrame:

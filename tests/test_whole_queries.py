@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from lodeseek.operators import fulltext, vector
 from lodeseek.plans import registry
@@ -46,6 +47,16 @@ def test_copies_have_one_rank_whatever_the_order_of_its_parts(spark):
     assert sorted(r["chunk_id"] for r in fulltext.bm25_batch(index, sizes, asked, 7).collect()) == list(range(7))
 
 
+@pytest.mark.parametrize("name", ["store_search"])
+def test_all_hits_of_the_store_are_asked(spark, tmp_path, name):
+    rows = [(c, t, "user", f"thble the th{c}x{t}") for c in range(1, 7) for t in range(3)] + [(1, 3, "user", "thbles the or that")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    out = registry.QUERIES[name](spark, str(tmp_path))
+    want = {(f"conv_{c}.md", hashlib.md5((x + "!" * (c % 3 == 0 and t == 2)).encode()).hexdigest()) for c, t, _, x in rows if t < 3}
+    assert {(r["file_path"], r["digest"]) for r in out.collect()} == want and out.count() == 18
+    assert "Limit" not in out._jdf.queryExecution().optimizedPlan().toString()  # any number of hits
+
+
 def test_every_50th_vector_is_asked(spark, tmp_path):
     x = np.random.default_rng(1).normal(size=(1300, 8)).astype("float32")
     spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
