@@ -523,7 +523,7 @@ def store_search(spark, sf):
 def store_search_prefix_near(spark, sf):
     """All hits of a prefix next to a word, in the store."""
     s, _ = _conversation_store(spark, sf)
-    hits = s.search_bm25('NEAR("the" "th" * , 1)', 1_000_000)
+    hits = s.search_bm25('NEAR("the" "th" * , 1)', None)
     return hits.select("file_path", F.md5("content").alias("digest")).distinct()
 
 

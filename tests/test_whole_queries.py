@@ -47,9 +47,9 @@ def test_copies_have_one_rank_whatever_the_order_of_its_parts(spark):
     assert sorted(r["chunk_id"] for r in fulltext.bm25_batch(index, sizes, asked, 7).collect()) == list(range(7))
 
 
-@pytest.mark.parametrize("name", ["store_search"])
+@pytest.mark.parametrize("name", ["store_search", "store_search_prefix_near"])
 def test_all_hits_of_the_store_are_asked(spark, tmp_path, name):
-    rows = [(c, t, "user", f"thble the th{c}x{t}") for c in range(1, 7) for t in range(3)] + [(1, 3, "user", "thbles the or that")]
+    rows = [(c, t, "user", f"thble the th{c}x{t}") for c in range(1, 7) for t in range(3)] + [(1, 3, "user", "thbles then or that")]
     spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     out = registry.QUERIES[name](spark, str(tmp_path))
     want = {(f"conv_{c}.md", hashlib.md5((x + "!" * (c % 3 == 0 and t == 2)).encode()).hexdigest()) for c, t, _, x in rows if t < 3}
